@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have at most `most` bytes together, or a single longer text."""
     if not len(texts):
         return
-    ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
