@@ -95,3 +95,29 @@ def history_statistics(
 
 def share_of(column: str, share: float, total: Column) -> Column:
     return F.col(column) > F.lit(share) * total
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    sizes: DataFrame,
+    spread: list[str],
+    how: str = "left",
+    share: float = HEAVY_SHARE,
+    salts: int = SALTS,
+) -> DataFrame:
+    """left join right on keys (unique in right) although a few keys hold most rows of left.
+
+    sizes: (keys, n_rows) of left, which the caller mostly has already.  The rows of a key with more than `share` of all
+    rows are spread over `salts` tasks by a hash of `spread`, and the right row of just these keys is repeated once for
+    each salt.  At most 1 / share keys are heavy, which bounds the broadcast of their list.
+    """
+    total = sizes.agg(F.sum("n_rows")).scalar()
+    heavy = sizes.where(F.col("n_rows") > F.lit(share) * total).select(*keys, F.lit(True).alias("__heavy"))
+    heavy = F.broadcast(heavy)
+    number = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    a = left.join(heavy, keys, "left").withColumn("__salt", F.when(F.col("__heavy"), number).otherwise(F.lit(0)))
+    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(heavy, keys, "left").withColumn("__salt", F.explode(copies))
+    return a.drop("__heavy").join(b.drop("__heavy"), [*keys, "__salt"], how).drop("__salt")

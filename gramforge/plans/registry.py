@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data
+from . import data, lm
+
+MODULES = (data, lm)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.p6_histories(spark, sf_dir)
+    """The modified Kneser-Ney trigram model of all documents."""
+    return lm.modkn_model(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return data.queries()
+    return {name: query for m in MODULES for name, query in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return data.oracle_sql()
+    return {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}
