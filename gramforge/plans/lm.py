@@ -253,11 +253,11 @@ def oracle_sql() -> dict[str, str]:
         "token_lines": f"WITH tok AS ({Q.tokens()}) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(len(w) - 2 AS BIGINT) AS n_words FROM tok",
         "vocab": f"WITH {Q.counts(1)} SELECT {SHOWN} AS word FROM c",
         "closed_vocab_counts": f"WITH {_closed()} SELECT ord, ngram, cnt FROM c",
-        "unk_counts": f"""WITH {Q.counts(ORDER, "c0")}, v AS (SELECT list(ngram) AS l FROM c0 WHERE ord = 1 AND cnt >= 5),
-          m AS (SELECT map_from_entries(list_transform((SELECT l FROM v), lambda x: {{'k': x, 'v': true}})) AS m)
-          SELECT ord, ngram, CAST(sum(cnt) AS BIGINT) AS cnt FROM (
-            SELECT ord, cnt, array_to_string(list_transform(string_split(ngram, ' '), lambda x:
-              CASE WHEN x = '</s>' OR (SELECT m[x] FROM m) THEN x ELSE '<unk>' END), ' ') AS ngram FROM c0) GROUP BY ord, ngram""",
+        "unk_counts": f"""WITH {Q.counts(ORDER, "c0")}, k AS (SELECT ngram AS word FROM c0 WHERE ord = 1 AND cnt >= 5),
+          g AS (SELECT ord, ngram, cnt, w.word, w.i FROM (SELECT ord, ngram, cnt, unnest(list_transform(string_split(ngram, ' '), lambda x, i: {{'word': x, 'i': i}})) AS w FROM c0)),
+          m AS (SELECT ord, ngram, any_value(cnt) AS cnt, array_to_string(list(CASE WHEN g.word = '</s>' OR k.word IS NOT NULL THEN g.word ELSE '<unk>' END ORDER BY i), ' ') AS n
+                FROM g LEFT JOIN k ON k.word = g.word GROUP BY ord, ngram)
+          SELECT ord, n AS ngram, CAST(sum(cnt) AS BIGINT) AS cnt FROM m GROUP BY ord, n""",
         "oov_tokens": f"""WITH {Q.counts(1, "c", ITEMS)}, {Q.counts(1, "k", prefix="k")}
           SELECT c.ngram AS word, c.cnt FROM c ANTI JOIN k USING (ngram)""",
         "left_counts": _branching("suffix"),

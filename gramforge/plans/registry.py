@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, lm
+from . import data, lm, mix
 
-MODULES = (data, lm)
+MODULES = (data, lm, mix)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
