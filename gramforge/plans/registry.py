@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, lm, mix
+from . import data, lm, mix, speech
 
-MODULES = (data, lm, mix)
+MODULES = (data, lm, mix, speech)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
