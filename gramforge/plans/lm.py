@@ -147,7 +147,7 @@ def kn5_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(kn(spark, sf_dir, number=5))
 
 
-GIVEN = {1: [0.5, 1.0, 1.5], 2: [0.6, 1.1, 1.4], 3: [0.7, 1.2, 1.3]}
+GIVEN = {1: [0.517293871273, 1.093827193817, 1.531729382911], 2: [0.617283917311, 1.129381724197, 1.418293718833], 3: [0.718293147119, 1.239281733771, 1.352839193317]}
 
 
 def fixed_modkn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
     for o in (1, 2, 3):
         out[f"ngram_counts_{o}"] = f"WITH {Q.counts(o)} SELECT ngram, cnt FROM c WHERE ord = {o}"
         out[f"modkn_probs_{o}"] = f"{_kn(o)} SELECT ngram, {Q.log10('prob')} AS log10prob FROM lm WHERE ord = {o}"
-    given = ", ".join(f"({o}, {', '.join(map(str, d))})" for o, d in GIVEN.items())
+    given = ", ".join(f"({o}, {', '.join(f'{x}e0' for x in d)})" for o, d in GIVEN.items())
     fixed = f"d AS (SELECT * FROM (VALUES {given}) AS t(ord, d1, d2, d3))"
     weighted = "e AS (SELECT *, exp(0.3 * ln(1 + eff)) AS wt FROM e0)"
     return out | {

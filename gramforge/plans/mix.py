@@ -150,7 +150,7 @@ def loaded_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by(F.struct("prob", "bow"), F.struct(F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp")), "entry_id")).alias("v")
     )
     return last.groupBy("ord", "ngram").agg(
-        F.count(F.lit(1)).alias("n_models"), (F.round(F.avg("v.prob"), 9) + F.lit(0.0)).alias("prob")
+        F.count(F.lit(1)).alias("n_models"), (F.round(F.avg("v.prob"), 12) + F.lit(0.0)).alias("prob")
     )
 
 
@@ -294,5 +294,5 @@ def oracle_sql() -> dict[str, str]:
     out["gli_model"] = f"{base}, {_TOTALS}, {mixed(gli, _JOIN)} {MODEL}"
     out["loaded_merge"] = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY model_id, ord, ngram
         ORDER BY coalesce(loaded_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') DESC, entry_id DESC) AS r FROM lm_entries)
-      SELECT ord, ngram, count(*) AS n_models, round(avg(prob), 9) + 0.0 AS prob FROM l WHERE r = 1 GROUP BY ord, ngram"""
+      SELECT ord, ngram, count(*) AS n_models, round(avg(prob), 12) + 0.0 AS prob FROM l WHERE r = 1 GROUP BY ord, ngram"""
     return out
