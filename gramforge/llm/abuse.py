@@ -104,8 +104,10 @@ near: porn: detection, filter, moderation, blocklist
 near: trash: folder, bin, recycling, empty
 """
 
-_LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i", "€": "e"}
-_SIGN = re.compile(r"[013457$@€](?:(?=[a-z])|(?<=[a-z].))|!(?=[a-z])(?<=[a-z]!)")
+_LEET = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "€": "e", "!": "i"}
+_SIGNS = re.compile(r"[01345$@€7]+")
+_BANG = re.compile(r"(?<=[a-z])!(?=[a-z])")
+_ONE = re.compile(r"[a-z1]*(?:[a-z]1|1[a-z])[a-z1]*")
 _HINT = re.compile(r"(?:^|[ \n.\-_*])[a-z0-9][ \n.\-_*]\s?[a-z0-9](?:$|[ \n.\-_*])")
 _APART = re.compile(r"(?<![a-z0-9])[a-z0-9](?:(?:[ .\-_*]|\n *)[a-z0-9]){2,}(?![a-z0-9])")
 _RUN = re.compile(r"([a-z])\1+")
@@ -169,16 +171,45 @@ class Scorer:
         self.words.make_automaton()
 
     def _join(self, m: re.Match) -> str:
-        """Letters set apart, joined; lexicon words inside the run become words of their own."""
-        run = _RUN.sub(r"\1", "".join(m.group().translate(_WORDS).split()))
-        out, at = [], 0
-        for end, word in self.words.iter_long(run):
-            out += [run[at : end - len(word) + 1], word]
-            at = end + 1
-        return " " + " ".join(filter(None, [*out, run[at:]])) + " "
+        """Letters set apart, joined: what a sign joins is a word; letters between blanks are one run, in which lexicon
+        words become words of their own."""
+        out, run = [], ""
+        for token in [*m.group().split(), ""]:
+            letters = "".join(token.translate(_WORDS).split())
+            if len(letters) == 1:
+                run += letters
+                continue
+            if run:
+                run, at = _RUN.sub(r"\1", run), 0
+                for end, word in self.words.iter_long(run):
+                    out += [run[at : end - len(word) + 1], word]
+                    at = end + 1
+                out.append(run[at:])
+                run = ""
+            out.append(letters)
+        return " " + " ".join(filter(None, out)) + " "
+
+    @staticmethod
+    def _letters(m: re.Match) -> str:
+        """Signs within or beside letters, as letters; `1` stays for `_one`."""
+        a, b, text = m.start(), m.end(), m.string
+        if (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()):
+            return "".join(_LEET.get(c, c) for c in m.group())
+        return m.group()
+
+    def _one(self, m: re.Match) -> str:
+        """A word with `1` for i or l: the reading that is a lexicon word, else i."""
+        word = m.group()
+        for letter in "il":
+            if _RUN.sub(r"\1", word.replace("1", letter)) in self.words:
+                return word.replace("1", letter)
+        return word.replace("1", "i")
 
     def fold(self, text: str) -> str:
-        text = _SIGN.sub(lambda m: _LEET[m.group()], _bare(text))
+        text = _SIGNS.sub(self._letters, _bare(text))
+        text = _BANG.sub("i", text)
+        if "1" in text:
+            text = _ONE.sub(self._one, text)
         if _HINT.search(text):
             text = _APART.sub(self._join, text)
         return _RUN.sub(r"\1", " " + " ".join(text.translate(_WORDS).split()) + " ")
