@@ -272,11 +272,13 @@ def remove_leaks(
                 kept.append(segment)
                 continue
             removed += int(cut.sum())
-            out, at = [], 0
+            out, at, before = [], 0, False
             for (a, b), gone in zip(places, cut.tolist(), strict=True):
                 if gone:
-                    out.append(segment[at:a])
+                    if not before:
+                        out.append(segment[at:a])
                     at = b
+                before = gone
             kept.append("".join([*out, segment[at:]]))
         dropped = removed > max_coverage * total
         return ("" if dropped else "\n\n".join(kept)), removed, dropped
