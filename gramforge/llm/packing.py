@@ -2,9 +2,11 @@
 
 Only the histogram of lengths (at most `capacity` rows, whatever the number of items) comes to the driver.  There:
 
-1. Items longer than `SMALL` of the capacity are put into at most `UNITS` length classes.  The configuration linear
-   program over these classes is solved by multiplicative weights: each step prices classes by their weight over their
-   demand, finds the best configuration by an unbounded-knapsack dynamic program and lowers the weights of what it covers.
+1. Items longer than `SMALL` of the capacity are put into about `CLASSES` length classes of equal numbers of items, so
+   that a length that many items share is a class of its own; a class counts as its longest item.  The configuration
+   linear program over these classes is solved by multiplicative weights: each step prices classes by their weight over
+   their demand, finds the best configuration by an unbounded-knapsack dynamic program over the capacity in tokens and
+   lowers the weights of what it covers.
 2. The fractional solution is rounded down; each configuration's copies take real items of its classes, longest first.
 3. The remaining items, short ones included, go best-fit decreasing into the exact space left, then into new containers.
 
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 
 CAPACITY = 5_000
-UNITS = 250
+CLASSES = 80
 SMALL = 0.05
 SALTS = 64
-ROUNDS = 12
+ROUNDS = 6
 ETA = 0.25
 
 
@@ -51,35 +53,63 @@ class Plan:
             column.append(value)
 
 
-def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each size (in units) of the most valuable configuration: unbounded knapsack by dynamic programming."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for room in range(int(sizes[0]), capacity + 1):
-        k = fits[room]
-        gain = best[room - sizes[:k]] + values[:k]
-        j = int(gain.argmax())
-        if gain[j] > best[room - 1]:
-            best[room], choice[room] = gain[j], j
-        else:
-            best[room] = best[room - 1]
-    out = np.zeros(len(sizes), np.int64)
-    room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            out[choice[room]] += 1
-            room -= int(sizes[choice[room]])
+class Knapsack:
+    """Unbounded knapsack over fixed sizes by dynamic programming, one vector operation per size.
+
+    Taking k items of one size moves the value by k sizes and k values: within a residue class of the size, that is a
+    running maximum of value minus quotient times the item's value."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int) -> None:
+        self.sizes, self.capacity = [int(s) for s in sizes], capacity
+        self.quotient = [(np.arange(-(-(capacity + 1) // s) * s) // s).astype(float) for s in self.sizes]
+
+    def best(self, values: np.ndarray) -> np.ndarray:
+        """Copies of each size of the most valuable configuration."""
+        n = self.capacity + 1
+        steps = [np.zeros(n)]
+        for s, q, v in zip(self.sizes, self.quotient, values.tolist(), strict=True):
+            gain = q * v
+            f = np.full(len(q), -np.inf)
+            np.subtract(steps[-1], gain[:n], out=f[:n])
+            rows = f.reshape(-1, s)
+            for i in range(1, len(rows)):
+                np.maximum(rows[i], rows[i - 1], out=rows[i])
+            f += gain
+            steps.append(f[:n])
+        out = np.zeros(len(self.sizes), np.int64)
+        room = int(steps[-1].argmax())
+        for j in range(len(self.sizes) - 1, -1, -1):
+            s, v, before = self.sizes[j], float(values[j]), steps[j]
+            most = room // s
+            if most:
+                k = np.arange(most + 1)
+                k = int((before[room - k * s] + k * v).argmax())
+                out[j] = k
+                room -= k * s
+        return out
+
+
+def length_classes(sizes: list[int], counts: dict[int, int], number: int) -> list[list[int]]:
+    """Sizes, longest first, in about `number` runs with equal numbers of items; none is split."""
+    total = sum(counts[s] for s in sizes)
+    out: list[list[int]] = []
+    held = 0
+    for s in sorted(sizes, reverse=True):
+        if not out or held + counts[s] > total / number:
+            out.append([])
+            held = 0
+        out[-1].append(s)
+        held += counts[s]
     return out
 
 
 def fractional_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Configurations (copies of each size) with fractional multiplicities that cover the demand nearly evenly."""
+    """Configurations (copies of each class) with fractional multiplicities that cover the demand nearly evenly."""
     weight, cover = np.ones(len(sizes)), np.zeros(len(sizes))
+    knapsack = Knapsack(sizes, capacity)
     used: dict[tuple[int, ...], float] = {}
     while cover.min() < ROUNDS:
-        config = best_configuration(sizes, weight / demand, capacity)
+        config = knapsack.best(weight / demand)
         inside = config > 0
         step = float((demand[inside] / config[inside]).min())
         cover += step * config / demand
@@ -90,7 +120,18 @@ def fractional_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: i
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """histogram: number of items of each size, 1 to capacity."""
+    """histogram: number of items of each size, 1 to capacity.
+
+    The program is solved twice: over the whole capacity, and over what the short items leave of it, so that they fill each
+    container to the brim.  The plan with fewer containers is taken."""
+    mass = sum(s * n for s, n in histogram.items())
+    short = sum(s * n for s, n in histogram.items() if s <= capacity * SMALL)
+    room = capacity - int(0.9 * capacity * short / mass) if mass else capacity
+    plans = [_plan(histogram, capacity, r) for r in sorted({capacity, room}, reverse=True)]
+    return min(plans, key=lambda p: p.n_containers)
+
+
+def _plan(histogram: dict[int, int], capacity: int, room_of_large: int) -> Plan:
     plan = Plan(capacity)
     sizes = sorted(s for s, n in histogram.items() if n > 0)
     if sizes and not 0 < sizes[0] <= sizes[-1] <= capacity:
@@ -113,25 +154,22 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         taken[size] += n
         left[size] -= n
 
-    unit = max(1, -(-capacity // UNITS))
-    classes: dict[int, list[int]] = {}
-    for s in reversed(sizes):
-        if s > capacity * SMALL and -(-s // unit) <= capacity // unit:
-            classes.setdefault(-(-s // unit), []).append(s)
-    if classes:
-        keys = np.array(sorted(classes), np.int64)
-        demand = np.array([sum(left[s] for s in classes[k]) for k in keys.tolist()], float)
-        solution = fractional_configurations(keys, demand, capacity // unit)
+    large = [s for s in sizes if capacity * SMALL < s <= room_of_large]
+    if large:
+        groups = length_classes(large, left, CLASSES)
+        demand = np.array([sum(left[s] for s in g) for g in groups], float)
+        solution = fractional_configurations(np.array([g[0] for g in groups]), demand, room_of_large)
         for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
-            copies = int(x)
+            enough = [sum(left[s] for s in g) // n for g, n in zip(groups, config, strict=True) if n]
+            copies = min(int(x), *enough)
             if not copies:
                 continue
             # each slot of the configuration takes `copies` items, longest first: pieces of containers with equal content
             marks, pieces = {0, copies}, []
-            for k, count in zip(keys.tolist(), config, strict=True):
+            for group, count in zip(groups, config, strict=True):
                 for _ in range(count):
                     at = 0
-                    for s in classes[k]:
+                    for s in group:
                         n = min(left[s], copies - at)
                         if n > 0:
                             take(s, n, plan.n_containers + at, 1)
