@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .lookalikes import TO_LATIN, plain
 
 _TOKENS = re.compile(r"([ \-]+)")
@@ -104,7 +105,7 @@ def canonical(rows: DataFrame, id_column: str = "word_id", text_column: str = "w
 
     repaired tells whether look-alikes were replaced.  Support is counted over distinct texts with partial aggregation.
     """
-    f = normal_forms(rows, id_column, text_column)
+    f = checkpoint(normal_forms(rows, id_column, text_column))  # read several times below
     support = (
         f.groupBy("repaired", text_column)
         .agg(F.lit(1).alias("__one"))
