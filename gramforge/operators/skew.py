@@ -27,12 +27,12 @@ def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFra
     return counts.where(F.col("n_rows") > F.lit(share) * total).select(key)
 
 
-def with_salt(rows: DataFrame, key: str, spread: list[str], salt: str = "__salt", share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
-    """rows with a salt column: 0 for ordinary keys, a hash of `spread` within 0 to salts - 1 for heavy ones."""
-    heavy = heavy_keys(rows, key, share).select(F.col(key).alias("__heavy"))
+def with_salt(rows: DataFrame, key: str, spread: list[str], heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+    """rows with a column __salt: 0 for ordinary keys, a hash of `spread` within 0 to salts - 1 for the heavy ones."""
+    heavy = heavy.select(F.col(key).alias("__heavy"))
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")  # at most 1 / share rows
     number = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    return marked.withColumn(salt, F.when(F.col("__heavy").isNotNull(), number).otherwise(F.lit(0))).drop("__heavy")
+    return marked.withColumn("__salt", F.when(F.col("__heavy").isNotNull(), number).otherwise(F.lit(0))).drop("__heavy")
 
 
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "count_distinct": F.sum}
@@ -43,18 +43,19 @@ def salted_aggregate(
     key: str,
     aggregates: dict[str, tuple[str, str]],
     spread: str,
-    share: float = HEAVY_SHARE,
+    heavy: DataFrame | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """One row for each non-null key with the named aggregates: name -> (count, sum, min, max or count_distinct, column).
 
     `spread` is the column whose hash is the salt; count_distinct is for this column only.  Every aggregate ignores nulls,
-    as in SQL; an empty table gives no row.
+    as in SQL; an empty table gives no row.  heavy: the heavy keys, if they are known already.
     """
     for kind, column in aggregates.values():
         if kind not in _MERGE or (kind == "count_distinct" and column != spread):
             raise ValueError(f"{kind}({column}) can't be merged from salts of {spread}")
-    rows = with_salt(rows.where(F.col(key).isNotNull()), key, [spread], share=share, salts=salts)
+    rows = rows.where(F.col(key).isNotNull())
+    rows = with_salt(rows, key, [spread], heavy_keys(rows, key) if heavy is None else heavy, salts)
     # equal values of `spread` first: what remains for a (key, salt) is one row per distinct value
     first, second, last = [], [], []
     for name, (kind, column) in aggregates.items():
@@ -90,6 +91,7 @@ def history_statistics(
         key,
         {"n_rows": ("sum", "__rows"), "n_followers": ("count_distinct", follower), "total": ("sum", "__count")},
         follower,
+        heavy_keys(rows, key),  # of the rows as delivered: counted before their shuffle
     )
 
 
