@@ -38,14 +38,14 @@ def stacked(models: list[DataFrame]) -> DataFrame:
 
 
 def refill(rows: DataFrame, order: int) -> dict[int, DataFrame]:
-    """stacked rows by order, with hist, suffix and word, prob 0 filled by the suffix's prob times the history's bow (q is
-    that back-off probability), in ascending order.  At order 1 the back-off probability is 0."""
+    """stacked rows by order, with hist, suffix and word, prob 0 filled by the suffix's prob (s) times the
+    history's bow, in ascending order.  At order 1 there is nothing to fill from and s is 0."""
     k = keyed(rows)
     out: dict[int, DataFrame] = {}
     for o in range(1, order + 1):
         own = k.where(F.col("ord") == o)
         if o == 1:
-            out[o] = own.withColumn("q", F.transform("p", lambda x: F.lit(0.0)))
+            out[o] = own.withColumn("s", F.transform("p", lambda x: F.lit(0.0)))
             continue
         lower = out[o - 1]
         below = lower.select(F.col("ngram").alias("suffix"), F.col("p").alias("__p"))
@@ -54,6 +54,7 @@ def refill(rows: DataFrame, order: int) -> dict[int, DataFrame]:
         one = F.transform("p", lambda x: F.lit(1.0))
         zero = F.transform("p", lambda x: F.lit(0.0))
         q = F.zip_with(F.coalesce("__p", zero), F.coalesce("__b", one), lambda x, y: x * y)
-        own = own.withColumn("q", q).drop("__p", "__b")
-        out[o] = own.withColumn("p", F.zip_with("p", "q", lambda x, y: F.when(x == 0, y).otherwise(x)))
+        own = own.withColumns({"s": F.coalesce("__p", zero), "__q": q})
+        own = own.withColumn("p", F.zip_with("p", "__q", lambda x, y: F.when(x == 0, y).otherwise(x)))
+        out[o] = own.drop("__p", "__b", "__q")
     return out

@@ -49,4 +49,4 @@ def vocabulary(lines: DataFrame, column: str = "value") -> DataFrame:
     """Vocabulary file as rows (word): one word per line, blank lines and lines that start with # left out, each once."""
     word = F.col(column)
     rows = lines.where(word.isNotNull() & (F.regexp_replace(word, SPACE, "") != "") & ~word.startswith("#"))
-    return rows.select(F.element_at(words(word), 1).alias("word")).distinct()
+    return rows.select(F.get(words(word), 0).alias("word")).where("word is not null").distinct()

@@ -219,7 +219,7 @@ def mixture_statistics(models: list[DataFrame], tokens: DataFrame, order: int, k
         n = len(models)
         sums = own.groupBy("hist").agg(
             F.array(*[F.sum(F.element_at("p", i + 1)) for i in range(n)]).alias("seen"),
-            F.array(*[F.sum(F.element_at("q", i + 1)) for i in range(n)]).alias("below"),
+            F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(n)]).alias("below"),
         )
         part = t.where(F.col("ord") == o).join(grams, "g", "left").join(sums, "hist", "left")
         part = part.select("ctx", "ngram", "cnt", "ord", "p", "seen", "below")
