@@ -112,31 +112,34 @@ def add_missing(counts: DataFrame) -> DataFrame:
     return counts.select("ord", "ngram", "cnt").unionByName(zero).groupBy("ord", "ngram").agg(F.sum("cnt").alias("cnt"))
 
 
-def _with_neighbours(counts: DataFrame, part: Column, positive: bool) -> DataFrame:
-    """(ord, ngram, cnt, n): each n-gram with its count (null for what counts lacks, as order 0) and the number of n-grams
-    of the next order that have it as `part`.  One aggregation of two rows per n-gram instead of a self-join."""
-    counted = (F.col("cnt") > 0) if positive else F.lit(True)
-    own = F.struct(F.col("ord"), F.col("ngram"), F.col("cnt"), F.lit(0).cast("bigint").alias("n"))
+def _with_neighbours(counts: DataFrame, part: Column) -> DataFrame:
+    """(ord, ngram, cnt, n, n_positive): each n-gram with its count (null for what counts lacks, as order 0) and the number
+    of n-grams of the next order that have it as `part`, all and those with a count above 0.
+
+    One aggregation of two rows per n-gram instead of a self-join."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    own = F.struct(F.col("ord"), F.col("ngram"), F.col("cnt"), zero.alias("n"), zero.alias("m"))
     of = F.struct(
-        (F.col("ord") - 1).alias("ord"), part.alias("ngram"), F.lit(None).cast("bigint").alias("cnt"),
-        F.when(counted, 1).otherwise(0).cast("bigint").alias("n"),
+        (F.col("ord") - 1).alias("ord"), part.alias("ngram"), F.lit(None).cast("bigint").alias("cnt"), one.alias("n"),
+        F.when(F.col("cnt") > 0, one).otherwise(zero).alias("m"),
     )
     rows = counts.select(F.explode(F.array(own, of)).alias("__r")).select("__r.*")
-    return rows.groupBy("ord", "ngram").agg(F.max("cnt").alias("cnt"), F.sum("n").alias("n"))
+    return rows.groupBy("ord", "ngram").agg(F.max("cnt").alias("cnt"), F.sum("n").alias("n"), F.sum("m").alias("n_positive"))
 
 
 def branching(counts: DataFrame, order: int, side: str) -> DataFrame:
     """(ord, ngram, n) of orders 0 to order - 1: how many n-grams of the next order have it as suffix (side left) or
     prefix (side right)."""
-    rows = _with_neighbours(counts, suffix() if side == "left" else hist(), positive=False)
+    rows = _with_neighbours(counts, suffix() if side == "left" else hist())
     return rows.where((F.col("ord") < order) & ((F.col("ord") == 0) | F.col("cnt").isNotNull())).select("ord", "ngram", "n")
 
 
 def effective_counts(counts: DataFrame, order: int) -> DataFrame:
-    """(ord, ngram, cnt, eff): below the top order the number of different left neighbours with a count above 0, or the
-    count itself where there is none; at the top order the count."""
-    rows = _with_neighbours(counts.where(F.col("ord") <= order), suffix(), positive=True).where("cnt is not null")
-    return rows.select("ord", "ngram", "cnt", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("cnt")).alias("eff"))
+    """(ord, ngram, cnt, eff, n_left): below the top order the number of different left neighbours with a count above 0,
+    or the count itself where there is none; at the top order the count.  n_left is the number of all left neighbours."""
+    rows = _with_neighbours(counts.where(F.col("ord") <= order), suffix()).where("cnt is not null")
+    eff = F.when(F.col("n_positive") > 0, F.col("n_positive")).otherwise(F.col("cnt"))
+    return rows.select("ord", "ngram", "cnt", eff.alias("eff"), F.col("n").alias("n_left"))
 
 
 def count_of_counts(eff: DataFrame, most: int) -> DataFrame:

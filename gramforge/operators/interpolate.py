@@ -90,6 +90,7 @@ def interpolate(models: list[DataFrame], order: int, mixture: Mixture, absent: f
         weight = F.aggregate("__w", F.lit(0.0), lambda a, x: a + x)
         mixed = F.aggregate(F.zip_with("__w", "p", lambda w, p: w * p), F.lit(0.0), lambda a, x: a + x)
         own = own.select(F.lit(o).alias("ord"), "ngram", "hist", "suffix", "word", (mixed / weight).alias("prob"))
+        own = checkpoint(own)  # read by its own order, its back-off weights and the next order
         if lower is not None:
             below = lower.select(F.col("ngram").alias("suffix"), F.col("prob").alias("__below"))
             sums = own.join(below, "suffix", "left").groupBy("hist").agg(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .counts import keyed
 
 
@@ -56,5 +57,6 @@ def refill(rows: DataFrame, order: int) -> dict[int, DataFrame]:
         q = F.zip_with(F.coalesce("__p", zero), F.coalesce("__b", one), lambda x, y: x * y)
         own = own.withColumns({"s": F.coalesce("__p", zero), "__q": q})
         own = own.withColumn("p", F.zip_with("p", "__q", lambda x, y: F.when(x == 0, y).otherwise(x)))
-        out[o] = own.drop("__p", "__b", "__q")
+        own = own.drop("__p", "__b", "__q")
+        out[o] = checkpoint(own) if o < order else own  # the next order reads it twice
     return out

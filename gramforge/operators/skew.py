@@ -108,14 +108,15 @@ def skew_join(
     how: str = "left",
     share: float = HEAVY_SHARE,
     salts: int = SALTS,
+    total: Column | None = None,
 ) -> DataFrame:
     """left join right on keys (unique in right) although a few keys hold most rows of left.
 
-    sizes: (keys, n_rows) of left, which the caller mostly has already.  The rows of a key with more than `share` of all
+    sizes: (keys, n_rows) of left, which the caller mostly has already; total: their sum, if known.  The rows of a key with more than `share` of all
     rows are spread over `salts` tasks by a hash of `spread`, and the right row of just these keys is repeated once for
     each salt.  At most 1 / share keys are heavy, which bounds the broadcast of their list.
     """
-    total = sizes.agg(F.sum("n_rows")).scalar()
+    total = sizes.agg(F.sum("n_rows")).scalar() if total is None else total
     heavy = sizes.where(F.col("n_rows") > F.lit(share) * total).select(*keys, F.lit(True).alias("__heavy"))
     heavy = F.broadcast(heavy)
     number = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")

@@ -146,8 +146,8 @@ def kneser_ney(
         weight = F.col("__weight")
     d = given_discounts(eff, given) if given else discounts(eff, number).select("ord", "d")
     sums = history_sums(eff, number, weight)
-    bows = back_off_weights(sums, d, number)
-    rows = eff.join(F.broadcast(d), "ord")  # one row per order
+    bows = checkpoint(back_off_weights(sums, d, number))
+    rows = eff.drop("n_left").join(F.broadcast(d), "ord")  # one row per order
     mass = (F.col("eff") - _discount(number, F.col("eff"))) * (weight if weight is not None else F.lit(1.0))
     rows = rows.select("ord", "ngram", "hist", "suffix", "word", "eff", mass.alias("mass"))
     p0 = zero_order(eff, closed)
@@ -165,14 +165,16 @@ def kneser_ney(
         else:
             sizes = of_hist.select("hist", "n_rows")
             joined = skew_join(own, of_hist.drop("n_rows"), ["hist"], sizes, ["ngram"])
-            by_suffix = own.groupBy("suffix").agg(F.count(F.lit(1)).alias("n_rows"))
+            by_suffix = eff.where(F.col("ord") == o - 1).select(F.col("ngram").alias("suffix"), F.col("n_left").alias("n_rows"))
+            n_own = eff.where(F.col("ord") == o).agg(F.count(F.lit(1))).scalar()
             below = lower.select(F.col("ngram").alias("suffix"), F.col("prob").alias("__lower"))
-            joined = skew_join(joined, below, ["suffix"], by_suffix, ["ngram"])
+            joined = skew_join(joined, below, ["suffix"], by_suffix, ["ngram"], total=n_own)
         seen = F.when((F.col("eff") > 0) & (F.col("tot") > 0), F.col("mass") / F.col("tot")).otherwise(F.lit(0.0))
         prob = seen + F.coalesce("__lower", F.lit(0.0)) * F.col("__bow")
         if o == 1 and not closed:
             prob = F.when(F.col("eff") == 0, F.lit(0.0)).otherwise(prob)
         lower = joined.select(F.lit(o).alias("ord"), "ngram", "hist", "suffix", "word", prob.alias("prob"))
+        lower = checkpoint(lower) if o < order else lower  # read by its own order and the next
         models.append(lower)
     probs = reduce(DataFrame.unionByName, models)
     return attach_bows(probs, bows)

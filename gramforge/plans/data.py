@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import malformed, skew
+from ..session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with its status, reason and broken field, or its values."""
-    return malformed.parse_lines(_table(spark, sf_dir, "model_lines"), ["line_id", "model_id", "ord"])
+    return malformed.parse_lines(spread(_table(spark, sf_dir, "model_lines")), ["line_id", "model_id", "ord"])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import counts as C
 from ..operators import smoothing as S
 from ..operators import text as T
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from . import lm_sql as Q
 
 ORDER = 3
@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return T.token_rows(docs if where is None else docs.where(where), ["doc_id"])
+    docs = (docs if where is None else docs.where(where)).select("doc_id", "text")
+    return T.token_rows(spread(docs), ["doc_id"])
 
 
 def counted(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:

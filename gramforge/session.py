@@ -27,3 +27,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder now and read from there: it survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session has cores.
+
+    A small file is one partition; work on its rows would then be one task.  Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

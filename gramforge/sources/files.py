@@ -15,7 +15,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import counts as C
@@ -59,17 +59,26 @@ def corpus(spark: SparkSession, names: str | list[str]) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("line_no"), T.bounded(F.col("value")).alias("w"))
 
 
-def documents(spark: SparkSession, names: str | list[str]) -> DataFrame:
-    """(doc_id, line_no, w): sentences of corpus files whose documents end with `</DOC>` lines.
+def _ends_before(rows: DataFrame, ends: Column) -> DataFrame:
+    """rows (with n, a monotonically increasing id) with __ends: how many earlier rows satisfy `ends`.
+
+    A running sum within each input partition plus the totals of the partitions before it, so no task sees the whole
+    file; the only global order is that of one row per partition."""
+    part = F.shiftright("n", 33)
+    rows = rows.withColumns({"__p": part, "__e": F.coalesce(ends.cast("int"), F.lit(0))})
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__p").agg(F.sum("__e").alias("__t"))
+    totals = totals.select("__p", F.coalesce(F.sum("__t").over(earlier(Window.orderBy("__p"))), F.lit(0)).alias("__before"))
+    within = F.coalesce(F.sum("__e").over(earlier(Window.partitionBy("__p").orderBy("n"))), F.lit(0))
+    rows = rows.withColumn("__within", within).join(totals, "__p")
+    return rows.withColumn("__ends", F.col("__within") + F.col("__before")).drop("__p", "__e", "__within", "__before")
 
-    Documents never cross files; a running count of marker lines per file gives them numbers."""
-    from pyspark.sql import Window
 
+def documents(spark: SparkSession, names: str | list[str]) -> DataFrame:
+    """(doc_id, line_no, w): sentences of corpus files whose documents end with `</DOC>` lines; none crosses files."""
     rows = spark.read.text(paths(names)).select(F.col("_metadata.file_path").alias("f"), "value").withColumn("n", F.monotonically_increasing_id())
-    before = Window.partitionBy("f").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.coalesce(F.sum((F.col("value") == "</DOC>").cast("int")).over(before), F.lit(0))
-    rows = rows.withColumn("doc_id", F.concat_ws("#", "f", ended.cast("string"))).where(~T.is_marker(F.col("value")))
-    return rows.select("doc_id", F.col("n").alias("line_no"), T.bounded(F.col("value")).alias("w"))
+    rows = _ends_before(rows, F.col("value") == "</DOC>").where(~T.is_marker(F.col("value")))
+    return rows.select(F.concat_ws("#", "f", F.col("__ends").cast("string")).alias("doc_id"), F.col("n").alias("line_no"), T.bounded(F.col("value")).alias("w"))
 
 
 def _internal(words: Column) -> Column:
@@ -108,17 +117,13 @@ def hmm_lda(spark: SparkSession, names: str | list[str]) -> DataFrame:
     """(line_no, w, s): sentences of word-state-topic lines with the states of their words.
 
     A sentence ends with its boundary word; a bad line fails."""
-    from pyspark.sql import Window
-
     parts = F.split("value", "\t")
     bad = F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))).cast("int")
     n = lines(spark, names).where(~F.col("value").startswith("#")).withColumn("n", F.monotonically_increasing_id())
     rows = n.select(
         "n", F.get(parts, 0).alias("word"), F.when(F.size(parts) == 3, F.get(parts, 1).cast("int")).otherwise(bad).alias("state")
     )
-    ends = (F.col("word").isin(T.BOUNDARY, T.START)).cast("int")
-    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("line_no", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    rows = _ends_before(rows, F.col("word").isin(T.BOUNDARY, T.START)).withColumnRenamed("__ends", "line_no")
     inner = rows.groupBy("line_no").agg(F.sort_array(F.collect_list(F.struct("n", "word", "state"))).alias("t"))
     w = F.transform("t", lambda x: x["word"])
     s = F.transform("t", lambda x: x["state"])

@@ -81,7 +81,7 @@ def test_hot_histories_and_suffixes(counts, monkeypatch):
     from gramforge.operators import skew
 
     plain = {r.ngram: (r.prob, r.bow) for r in S.kneser_ney(counts, ORDER).collect()}
-    monkeypatch.setattr(skew.skew_join, "__defaults__", ("left", 1e-9, 3))
+    monkeypatch.setattr(skew.skew_join, "__defaults__", ("left", 1e-9, 3, None))
     salted = {r.ngram: (r.prob, r.bow) for r in S.kneser_ney(counts, ORDER).collect()}
     assert plain == salted
 
