@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .lookalikes import to_latin
 from .mime import visible
 
@@ -283,7 +284,7 @@ def score_documents(
     Null and empty texts score 0 and are not flagged; repeated rows and null ids are rows like any other.  Columns of docs
     that are not named are not read.
     """
-    picked = docs.select(F.col(id_column), *[F.col(c) for c in keep], F.col(text_column).alias("__text"))
+    picked = spread(docs.select(F.col(id_column), *[F.col(c) for c in keep], F.col(text_column).alias("__text")))
     out = [picked.schema[i] for i in range(1 + len(keep))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from .lookalikes import TO_LATIN, plain
 
 _TOKENS = re.compile(r"([ \-]+)")
@@ -85,7 +85,7 @@ def forms(text: str) -> tuple[str, str]:
 
 def normal_forms(rows: DataFrame, id_column: str = "word_id", text_column: str = "word") -> DataFrame:
     """(id, text, plain, repaired) for each row with a text; null texts have no form and give no row."""
-    picked = rows.where(F.col(text_column).isNotNull()).select(id_column, text_column)
+    picked = spread(rows.where(F.col(text_column).isNotNull()).select(id_column, text_column))
     kinds = [f.dataType.simpleString() for f in picked.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

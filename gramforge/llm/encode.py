@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bpe import TOKENIZER_DIR, encoder
 
 SLICE = 4_000_000
@@ -44,7 +45,7 @@ def encode_documents(
     Null and empty texts get an empty list.  The strings of special tokens in a text are ordinary text.  Repeated rows and
     null ids are rows like any other; other columns of docs are not read.
     """
-    picked = docs.select(F.col(id_column), F.col(text_column).alias("__text"))
+    picked = spread(docs.select(F.col(id_column), F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,7 @@ def count_tokens(
     directory: str = TOKENIZER_DIR,
 ) -> DataFrame:
     """One row (id, n_tokens) for each row of docs; 0 for null and empty texts."""
-    picked = docs.select(F.col(id_column), F.col(text_column).alias("__text"))
+    picked = spread(docs.select(F.col(id_column), F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

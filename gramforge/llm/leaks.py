@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .lookalikes import to_latin
 from .mime import visible
 
@@ -214,7 +215,7 @@ def find_leaks(
     spark = docs.sparkSession
     automaton = items_automaton(items, item_column, item_text_column, min_words)
     shared = spark.sparkContext.broadcast(automaton)
-    picked = docs.select(id_column, *keep, F.col(text_column).alias("__text"))
+    picked = spread(docs.select(id_column, *keep, F.col(text_column).alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1])
     item_type = items.schema[item_column].dataType.simpleString()
 
@@ -255,7 +256,7 @@ def remove_leaks(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items_automaton(items, item_column, item_text_column, min_words))
-    picked = docs.select(id_column, F.col(text_column).alias("__text"))
+    picked = spread(docs.select(id_column, F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
 
     def clean(finder: Finder, text: str | None) -> tuple[str | None, int, bool]:
