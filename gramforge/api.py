@@ -28,7 +28,7 @@ class Estimated:
     spark: SparkSession
     order: int
     counts: DataFrame
-    smoothing: S.Smoothing
+    smoothings: list[S.Smoothing]
     closed: bool = False
     features: list[DataFrame] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
@@ -47,18 +47,31 @@ class Estimated:
 
     def model(self) -> DataFrame:
         if self._model is None:
-            s = self.smoothing
-            if s.kind != "KN":
-                m = S.maximum_likelihood(self.counts, s.kind == "ML_COMPAT")
+            kinds = {s.kind for s in self.smoothings}
+            if kinds <= {"ML", "ML_COMPAT"} and len(kinds) == 1:
+                m = S.maximum_likelihood(self.counts, kinds == {"ML_COMPAT"})
+            elif "ML_COMPAT" in kinds:
+                raise ValueError("ML_COMPAT can't be mixed with other smoothings")
             else:
-                given = None
+                given, weights = None, self.weights
                 if self.params is not None:
-                    d = np.asarray(self.params, float)[: self.order * s.discounts].reshape(self.order, s.discounts)
+                    n = self.order * self.discounts
+                    d = np.asarray(self.params[:n], float).reshape(self.order, self.discounts)
                     given = {o + 1: d[o].tolist() for o in range(self.order)}
-                m = S.kneser_ney(self.counts, self.order, s.discounts, self.closed, given, self.feature_table(), self.weights or None)
+                    weights = list(self.params[n:]) or weights
+                numbers = [s.discounts for s in self.smoothings]
+                m = S.kneser_ney(self.counts, self.order, numbers, self.closed, given, self.feature_table(), weights or None)
             self._model = checkpoint(m)
         return self._model
 
+    @property
+    def discounts(self) -> int:
+        """Number of tunable discounts, the same for all orders."""
+        numbers = {s.discounts for s in self.smoothings}
+        if len(numbers) > 1 or 0 in numbers:
+            raise ValueError("parameters need Kneser-Ney smoothing with one number of discounts for all orders")
+        return numbers.pop()
+
     def effective(self) -> DataFrame:
         return C.effective_counts(self.counts, self.order)
 
@@ -67,13 +80,16 @@ class Estimated:
 
     def tune_perplexity(self, tokens: DataFrame, technique: str) -> tune.Minimum:
         looked = tune.held_out_contexts(self.counts, tokens, self.order, [])
-        s = tune.kneser_ney_statistics(self.counts, looked, self.order, self.smoothing.discounts, self.closed)
+        if self.features:
+            s = tune.weighted_statistics(self.counts, looked, self.order, self.discounts, self.feature_table(), len(self.features), self.closed)
+        else:
+            s = tune.kneser_ney_statistics(self.counts, looked, self.order, self.discounts, self.closed)
         best = tune.tune_perplexity(s, technique)
         self.with_params(best.x)
         return best
 
     def tune_lattices(self, arcs: DataFrame, refs: DataFrame, what: str, technique: str) -> tune.Minimum:
-        o = tune.LatticeObjective(self.counts, arcs, refs, self.order, self.smoothing.discounts)
+        o = tune.LatticeObjective(self.counts, arcs, refs, self.order, self.discounts)
         best = o.tune(what, technique)
         self.with_params(best.x)
         return best
@@ -136,11 +152,9 @@ def estimate(
     weights: list[float] | None = None,
 ) -> Estimated:
     names = S.smoothing_list(smoothing, order)
-    if any(n != names[0] for n in names[1:]):
-        raise ValueError("one smoothing for all orders is supported")
     table = load_counts(spark, order, text, counts, vocab, unknown)
     fs = [load_feature(spark, f, order, text) for f in (weight_features or "").split(",") if f]
-    return Estimated(spark, order, table, names[0], bool(vocab), fs, weights or [0.0] * len(fs))
+    return Estimated(spark, order, table, names, bool(vocab), fs, weights or [0.0] * len(fs))
 
 
 @dataclass
@@ -159,17 +173,29 @@ class Mixed:
             self._model = checkpoint(I.interpolate(self.models, self.order, self.mixture, self.absent))
         return self._model
 
+    tie_models: bool = False
+
     def with_params(self, params: list[float]) -> None:
-        """Biases of all models but the first, for each tied row."""
+        """Biases of all models but the first, row by row, then (GLI) the coefficients, row by row and model by model."""
+        params = [float(x) for x in params]
+        if len(params) != len(self.params()):
+            raise ValueError(f"expected {len(self.params())} parameters")
         n = len(self.models) - 1
         rows = len(self.mixture.biases)
-        if len(params) != n * rows:
-            raise ValueError(f"expected {n * rows} parameters")
-        self.mixture.biases = [list(params[i * n : (i + 1) * n]) for i in range(rows)]
+        self.mixture.biases = [params[i * n : (i + 1) * n] for i in range(rows)]
+        rest = iter(params[rows * n :])
+        if self.kind == "GLI":
+            for row in self.mixture.coefficients:
+                first = [next(rest) for _ in row[0]]
+                for i in range(len(row)):
+                    row[i] = list(first) if i == 0 or self.tie_models else [next(rest) for _ in row[i]]
         self._model = None
 
     def params(self) -> list[float]:
-        return [x for row in self.mixture.biases for x in row]
+        out = [x for row in self.mixture.biases for x in row]
+        if self.kind == "GLI":
+            out += [x for row in self.mixture.coefficients for c in (row[:1] if self.tie_models else row) for x in c]
+        return out
 
     def tune_perplexity(self, tokens: DataFrame, technique: str) -> tune.Minimum:
         if self.kind == "LI" and len(self.mixture.biases) == 1:
@@ -195,6 +221,7 @@ def interpolate(
     interpolation: str = "LI",
     features: list[str] | None = None,
     tie_order: bool = True,
+    tie_models: bool = False,
 ) -> Mixed:
     """Models of ARPA or binary files, and models estimated from texts or counts, interpolated."""
     if bool(text) and bool(counts):
@@ -225,7 +252,7 @@ def interpolate(
         absent = I.NO_COUNT if interpolation == "CM" else 0.0
     elif interpolation != "LI":
         raise ValueError(f"unknown interpolation {interpolation}")
-    return Mixed(order, parts, I.default_mixture(len(parts), order, fs, tie_order), absent, interpolation)
+    return Mixed(order, parts, I.default_mixture(len(parts), order, fs, tie_order), absent, interpolation, tie_models=tie_models)
 
 
 def perplexity(spark: SparkSession, model: DataFrame, order: int, name: str) -> float:

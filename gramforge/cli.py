@@ -97,7 +97,7 @@ def estimate(o: dict) -> None:
     smoothing_list(o["smoothing"], order)
     e = api.estimate(spark, order, o["text"], o["counts"], o["vocab"], truth(o["unk"]), o["smoothing"], o["weight-features"])
     if o["params"]:
-        e.with_params(files.read_params(o["params"], order * e.smoothing.discounts))
+        e.with_params(files.read_params(o["params"], order * e.discounts + len(e.features)))
     if o["opt-perp"]:
         best = e.tune_perplexity(files.corpus(spark, o["opt-perp"]), o["opt-alg"])
         log.info("entropy %f after %d evaluations", best.value, best.evaluations)
@@ -146,7 +146,7 @@ def interpolate(o: dict) -> None:
     m = api.interpolate(
         spark, order, split_list(o["lm"] or ""), split_list(o["text"] or ""), split_list(o["counts"] or ""),
         split_list(o["smoothing"], ";"), o["interpolation"], split_list(o["interpolation-features"] or "", ";"),
-        truth(o["tie-param-order"]),
+        truth(o["tie-param-order"]), truth(o["tie-param-lm"]),
     )
     if o["params"]:
         m.with_params(files.read_params(o["params"], len(m.params())))

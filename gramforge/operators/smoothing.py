@@ -73,6 +73,19 @@ def discounts(eff: DataFrame, number: int) -> DataFrame:
     return n.withColumn("y", y).select("ord", "y", F.array(*out).alias("d"))
 
 
+def discounts_by_order(eff: DataFrame, numbers: list[int]) -> DataFrame:
+    """(ord, d) with numbers[o - 1] discounts at order o, the last one repeated up to the largest number.
+
+    An order with 0 discounts has zeros: nothing is taken from its counts."""
+    most = max(1, *numbers)
+    every = discounts(eff, most).select("ord", "d")
+    out = F
+    for o, k in enumerate(numbers, 1):
+        own = [F.element_at("d", min(i, k)) if k else F.lit(0.0) for i in range(1, most + 1)]
+        out = out.when(F.col("ord") == o, F.array(*own))
+    return every.select("ord", out.alias("d"))
+
+
 def given_discounts(eff: DataFrame, values: dict[int, list[float]]) -> DataFrame:
     """(ord, d) of discounts given as parameters."""
     for order, d in values.items():
@@ -120,20 +133,30 @@ def zero_order(counts: DataFrame, closed: bool) -> Column:
 def kneser_ney(
     counts: DataFrame,
     order: int,
-    number: int = 3,
+    number: int | list[int] = 3,
     closed: bool = False,
     given: dict[int, list[float]] | None = None,
     features: DataFrame | None = None,
     weights: list[float] | None = None,
     needed: DataFrame | None = None,
 ) -> DataFrame:
-    """Kneser-Ney model with `number` discounts (1: plain, 3: modified).
+    """Kneser-Ney model with `number` discounts (1: plain, 3: modified), or with a number for each order.
+
+    An order with 0 discounts is a maximum likelihood order: its raw counts over their sum, and nothing for back-off.
 
     given: discounts of each order instead of the estimated ones.  features: (ord, ngram, f array<double>), missing rows
     are zeros, with one weight for each: an n-gram then counts exp(weights . f) times.  needed: (ord, ngram); only these
     and the rows their probabilities depend on are estimated, with the same values.
     """
-    eff = checkpoint(keyed(effective_counts(counts, order)))
+    numbers = list(number) if isinstance(number, (list, tuple)) else [number] * order
+    if len(numbers) != order:
+        raise ValueError("give one number of discounts for each order")
+    number = max(1, *numbers)
+    eff = keyed(effective_counts(counts, order))
+    raw = [o for o, k in enumerate(numbers, 1) if not k]
+    if raw:
+        eff = eff.withColumn("eff", F.when(F.col("ord").isin(raw), F.col("cnt")).otherwise(F.col("eff")))
+    eff = checkpoint(eff)
     weight = None
     if features is not None and weights:
         if not check_bounds([], weights):
@@ -144,7 +167,7 @@ def kneser_ney(
         )
         eff = eff.join(features, ["ord", "ngram"], "left").withColumn("__weight", F.exp(F.coalesce(dot, F.lit(0.0)))).drop("f")
         weight = F.col("__weight")
-    d = given_discounts(eff, given) if given else discounts(eff, number).select("ord", "d")
+    d = given_discounts(eff, given) if given else discounts_by_order(eff, numbers)
     sums = history_sums(eff, number, weight)
     bows = checkpoint(back_off_weights(sums, d, number))
     rows = eff.drop("n_left").join(F.broadcast(d), "ord")  # one row per order

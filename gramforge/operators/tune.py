@@ -19,7 +19,7 @@ from .evaluate import contexts
 from .lattice import Lattice, arc_contexts, word_errors
 from .model import refill, stacked
 from .optimize import Minimum, minimise
-from .smoothing import discounts, history_sums
+from .smoothing import MAX_FEATURE_WEIGHT, discounts, history_sums
 
 MAX_CONTEXTS = 2_000_000
 
@@ -115,8 +115,80 @@ def kneser_ney_statistics(counts: DataFrame, looked: DataFrame, order: int, numb
     return s
 
 
+@dataclass
+class WeightedStatistics(KneserNeyStatistics):
+    """The same with weighting features: an n-gram counts exp(weights . features) times, so the followers of each needed
+    history stay apart.  Parameters are the discounts, then one weight for each feature."""
+
+    hist_of: np.ndarray = None  # history of each follower
+    follower_eff: np.ndarray = None
+    follower_order: np.ndarray = None
+    follower_features: np.ndarray = None  # (followers, features)
+    own_features: np.ndarray = None  # (contexts, order, features)
+    hist_at: np.ndarray = None  # (contexts, order): history of this order's n-gram, -1 where it doesn't exist
+
+    def log_probabilities(self, params: np.ndarray) -> np.ndarray | None:
+        n = self.order * self.number
+        d, theta = np.asarray(params[:n], float).reshape(self.order, self.number), np.asarray(params[n:], float)
+        if np.any(d < 0) or np.any(d > np.arange(1, self.number + 1)) or np.any(np.abs(theta) > MAX_FEATURE_WEIGHT):
+            return None
+        w = np.exp(self.follower_features @ theta)
+        size = int(self.hist_of.max(initial=-1)) + 1
+        k = np.clip(self.follower_eff, 1, self.number).astype(int) - 1
+        cut = np.where(self.follower_eff > 0, d[self.follower_order - 1, k], 0.0)
+        total = np.append(np.bincount(self.hist_of, w * self.follower_eff, size), 0.0)
+        taken = np.append(np.bincount(self.hist_of, w * cut, size), 0.0)
+        prob, out = np.full(len(self.count), self.p0), np.zeros(len(self.count))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for o in range(self.order):
+                t, x, eff = total[self.hist_at[:, o]], taken[self.hist_at[:, o]], self.eff[:, o]
+                bow = np.where(t > 0, x / t, 1.0)
+                own = np.where(eff > 0, d[o][np.clip(eff, 1, self.number).astype(int) - 1], 0.0)
+                seen = np.where((eff > 0) & (t > 0), np.exp(self.own_features[:, o] @ theta) * (eff - own) / t, 0.0)
+                prob = np.where(o < self.matched, seen + bow * prob, prob)
+                out += np.where(self.dropped[:, o], np.log(bow), 0.0)
+            return out + np.log(prob)
+
+
+def weighted_statistics(
+    counts: DataFrame, looked: DataFrame, order: int, number: int, features: DataFrame, n_features: int, closed: bool = False
+) -> WeightedStatistics:
+    """features: (ord, ngram, f array<double>).  The followers of the held-out set's histories are collected, at most
+    `MAX_CONTEXTS` of them."""
+    s = kneser_ney_statistics(counts, looked, order, number, closed)
+    eff = keyed(effective_counts(counts, order)).select("ord", "ngram", "hist", "eff")
+    f = F.coalesce("f", F.array(*[F.lit(0.0)] * n_features))
+    eff = checkpoint(eff.join(features, ["ord", "ngram"], "left").withColumn("f", f))
+    words = F.split("ngram", " ")
+    tries = F.transform(
+        F.sequence(F.lit(1), F.col("ctx")),
+        lambda o: F.struct(o.alias("ord"), F.array_join(F.slice(words, F.col("ctx") - o + 1, o - 1), " ").alias("hist")),
+    )
+    needed = looked.select(F.explode(tries).alias("t")).select("t.*").distinct()
+    followers = _bounded(eff.join(needed, ["ord", "hist"], "left_semi").orderBy("ord", "ngram"))
+    hists: dict[tuple[int, str], int] = {}
+    hist_of = np.array([hists.setdefault((r["ord"], r["hist"]), len(hists)) for r in followers], int)
+    own = {(r["ord"], r["ngram"]): r["f"] for r in followers}
+    m = len(s.count)
+    own_features, hist_at = np.zeros((m, order, n_features)), np.full((m, order), -1)
+    for i, (ctx, ngram) in enumerate(s.context):
+        w = ngram.split(" ")
+        for o in range(1, ctx + 1):
+            part = w[ctx - o :]
+            hist_at[i, o - 1] = hists.get((o, " ".join(part[:-1])), -1)
+            own_features[i, o - 1] = own.get((o, " ".join(part)), own_features[i, o - 1])
+    fields = {k: getattr(s, k) for k in KneserNeyStatistics.__dataclass_fields__}
+    fields["default"] = np.concatenate([s.default, np.zeros(n_features)])
+    return WeightedStatistics(
+        **fields, hist_of=hist_of, follower_eff=np.array([r["eff"] for r in followers], float),
+        follower_order=np.array([r["ord"] for r in followers], int),
+        follower_features=np.array([r["f"] for r in followers], float).reshape(-1, n_features),
+        own_features=own_features, hist_at=hist_at,
+    )
+
+
 def tune_perplexity(s: KneserNeyStatistics, technique: str = "Powell") -> Minimum:
-    """Discounts of least entropy, starting from the estimated ones; never worse than these."""
+    """Discounts (and feature weights) of least entropy, starting from the estimated ones; never worse than these."""
     return minimise(technique, s.entropy, s.default)
 
 

@@ -155,6 +155,11 @@ def fixed_modkn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(S.kneser_ney(counted(spark, sf_dir), ORDER, 3, given=GIVEN))
 
 
+def mixed_smoothing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One discount at order 1, three at order 2, two at order 3."""
+    return _model(S.kneser_ney(counted(spark, sf_dir), ORDER, [1, 3, 2]))
+
+
 def closed_modkn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(S.kneser_ney(closed_vocab_counts(spark, sf_dir), ORDER, 3, closed=True))
 
@@ -201,7 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         token_lines, vocab, closed_vocab_counts, unk_counts, oov_tokens, left_counts, right_counts, eff_counts,
         count_of_counts, history_totals, kn_discounts, table_counts, table_counts_closed, modkn_model, kn_model, kn5_model,
-        fixed_modkn_model, closed_modkn_model, masked_modkn_model, weighted_kn_model, ml_probs, ml_probs_compat,
+        fixed_modkn_model, mixed_smoothing_model, closed_modkn_model, masked_modkn_model, weighted_kn_model, ml_probs, ml_probs_compat,
         lm_truncate, table_modkn_model,
     )
     return out | {f.__name__: f for f in made}
@@ -274,6 +279,8 @@ def oracle_sql() -> dict[str, str]:
         "kn_model": f"{_kn(number=1)} {MODEL}",
         "kn5_model": f"{_kn(number=5)} {MODEL}",
         "fixed_modkn_model": f"WITH {c}, {e}, {fixed}, {Q.kneser_ney(ORDER, 3)} {MODEL}",
+        "mixed_smoothing_model": f"""WITH {c}, {e}, {Q.discounts(3, name="d0")}, d AS (SELECT ord, d1, CASE ord WHEN 1 THEN d1 ELSE d2 END AS d2,
+          CASE ord WHEN 1 THEN d1 WHEN 2 THEN d3 ELSE d2 END AS d3 FROM d0), {Q.kneser_ney(ORDER, 3)} {MODEL}""",
         "closed_modkn_model": f"{_kn(counts=_closed(), closed=True)} {MODEL}",
         "masked_modkn_model": f"""{_kn()}, {Q.counts(ORDER, "need", ITEMS, "n")}, want AS (
             SELECT DISTINCT i AS ord, array_to_string(string_split(ngram, ' ')[ord - i + 1:ord], ' ') AS ngram

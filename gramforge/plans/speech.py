@@ -120,6 +120,15 @@ def tuned_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def tuned_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts and the weight of one feature, ln(1 + effective count), tuned on the tuning texts."""
+    c = checkpoint(counted(spark, sf_dir, 2))
+    dev = T.token_rows(table(spark, sf_dir, "eval_items").where("purpose = 'opt-perp'"), ["item_id"])
+    f = checkpoint(C.effective_counts(c, 2).select("ord", "ngram", F.array(F.log1p("eff")).alias("f")))
+    s = tune.weighted_statistics(c, tune.held_out_contexts(c, dev, 2, ["item_id"]), 2, 1, f, 1)
+    return _result(spark, "LBFGS", tune.tune_perplexity(s, "LBFGS"), s.entropy(s.default))
+
+
 def tuned_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bias of the linear interpolation of two component models, tuned on the tuning texts."""
     from .mix import _components
@@ -220,7 +229,8 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         lattice_arcs, lattice_rescore, lattice_best_score, lattice_utterances, lattice_wer, lattice_posteriors,
-        lattice_positions, lattice_n_best, lattice_transcripts, tuned_discounts, tuned_mixture, tuned_lattices, arpa_lines,
+        lattice_positions, lattice_n_best, lattice_transcripts, tuned_discounts,
+        tuned_feature_weights, tuned_mixture, tuned_lattices, arpa_lines,
         counts_lines, arpa_round_trip, vector_reductions, vector_bins, vector_weights, streamed_counts,
     )
     return {f.__name__: f for f in made}

@@ -26,6 +26,7 @@ def folder(tmp_path):
     (tmp_path / "a.txt").write_text(TEXT)
     (tmp_path / "b.txt").write_text(OTHER)
     (tmp_path / "v.txt").write_text("# words\na\nb\nc\n\nd\n")
+    (tmp_path / "docs").write_text("<DOC 1>\na b c\n</DOC>\n<DOC 2>\nb c\n</DOC>\n")
     (tmp_path / "u1").write_text(FST)
     (tmp_path / "u2").write_text(FST)
     (tmp_path / "lattices").write_text("# list\nu1 u1 a b\nu2 u2 d <tag> e e\n")
@@ -107,6 +108,12 @@ def test_lattice_files(spark, folder):
     assert arcs.count() == 12 and {r.tag: r.words for r in refs.collect()} == {"u1": ["a", "b"], "u2": ["d", "e", "e"]}
     files.write_lattices(arcs, f"{folder}/out")
     assert (folder / "out" / "u1").read_text().startswith("#FSTBasic MinPlus\nI 0\nT 0 1 a a 1\n")
+    u = spark.createDataFrame([("u1", ["a", "b"], 2, 0, 0.5), ("u2", ["d"], 3, 2, 0.25)], "tag string, words array<string>, n_ref int, n_errors int, confidence double")
+    files.write_transcripts(u, f"{folder}/t")
+    files.write_confidence(u, f"{folder}/c")
+    files.write_word_errors(u, f"{folder}/w")
+    assert (folder / "t").read_text() == "a b (u1)\nd (u2)\n" and (folder / "c").read_text() == "u1\t0.500000\nu2\t0.250000\n"
+    assert (folder / "w").read_text() == "u1\t2\t0\nu2\t3\t2\n"
     compiled = api.compile_lattices(spark, f"{folder}/lattices")
     assert rows(api.load_lattices(spark, compiled)[0], "tag", "arc", "word") == rows(arcs, "tag", "arc", "word")
 
@@ -145,6 +152,9 @@ def test_command_line(spark, folder, capsys):
     assert len(files.read_params(f"{folder}/q")) == 1
     run("estimate", "-o", 2, "-t", folder / "a.txt", "-v", folder / "v.txt", "-u", "-s", "ML", "-wl", folder / "ml.lm")
     assert "<unk>" in (folder / "ml.lm").read_text()
+    run("estimate", "-o", 2, "-t", folder / "a.txt", "-s", "FixKN,ML", "-wl", folder / "mixed.lm")
+    run("interpolate", "-o", 2, "-t", f"{folder}/a.txt,{folder}/b.txt", "-i", "GLI", "-if", f"log1p:sumhist:freq:{folder}/docs", "-tpl", "-wp", folder / "g")
+    assert len(files.read_params(f"{folder}/g")) == 2
     run("estimate", "-o", 2, "-t", folder / "a.txt", "-s", "KN", "-ow", folder / "lattices", "-om", folder / "lattices", "-ew", folder / "lattices")
     assert cli.main(["estimate", "-nonsense", "1"]) == 2 and cli.main([]) == 2
     run("evaluate", "-h")

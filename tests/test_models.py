@@ -238,6 +238,35 @@ def test_tuned_discounts_are_no_worse(spark, counts, technique):
     assert s.entropy(s.default + 10) == math.inf
 
 
+def test_tuned_feature_weights(spark, counts):
+    dev = _tokens(spark, _texts(5, "abcdefgh", 10))
+    looked = tune.held_out_contexts(counts, dev, ORDER, ["doc_id"])
+    f = checkpoint(C.effective_counts(counts, ORDER).selectExpr("ord", "ngram", "array(ln(1 + eff)) as f"))
+    s = tune.weighted_statistics(counts, looked, ORDER, 2, f, 1)
+    plain = tune.kneser_ney_statistics(counts, looked, ORDER, 2)
+    assert s.entropy(s.default) == pytest.approx(plain.entropy(plain.default), abs=1e-9)
+    params = s.default.copy()
+    params[-1] = 0.3
+    d = {o + 1: params[:-1].reshape(ORDER, 2)[o].tolist() for o in range(ORDER)}
+    m = checkpoint(S.kneser_ney(counts, ORDER, 2, given=d, features=f, weights=[0.3]))
+    assert E.perplexity(dev, m, ORDER, ["doc_id"]).first().entropy == pytest.approx(s.entropy(params), abs=1e-9)
+    assert tune.tune_perplexity(s, "LBFGS").value <= s.entropy(s.default) + 1e-12
+    params[-1] = 101
+    assert s.entropy(params) == math.inf
+
+
+def test_smoothing_by_order(counts):
+    same = {r.ngram: r.prob for r in S.kneser_ney(counts, ORDER, 2).collect()}
+    assert same == {r.ngram: r.prob for r in S.kneser_ney(counts, ORDER, [2, 2, 2]).collect()}
+    m = Lookup(S.kneser_ney(counts, ORDER, [1, 3, 2]))
+    for h in m.histories():
+        assert sum(m.prob([*h, w]) for w in m.words) == pytest.approx(1, abs=1e-9)
+    ml = {r.ngram: r.prob for r in S.maximum_likelihood(counts).collect()}
+    mixed = {r.ngram: (r.ord, r.prob) for r in S.kneser_ney(counts, ORDER, [0, 3, 0]).collect()}
+    assert all(p == pytest.approx(ml[g]) for g, (o, p) in mixed.items() if o != 2)
+    assert any(abs(p - ml[g]) > 1e-6 for g, (o, p) in mixed.items() if o == 2)
+
+
 def test_tuned_mixture_is_no_worse(spark, counts, other):
     models = [checkpoint(S.kneser_ney(c, ORDER)) for c in (counts, other)]
     dev = _tokens(spark, _texts(6, "abcdefghij", 10))
