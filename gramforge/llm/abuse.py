@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,12 +107,18 @@ near: trash: folder, bin, recycling, empty
 """
 
 _LEET = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "€": "e", "!": "i"}
-_SIGNS = re.compile(r"[01345$@€7]+")
-_BANG = re.compile(r"(?<=[a-z])!(?=[a-z])")
-_ONE = re.compile(r"[a-z1]*(?:[a-z]1|1[a-z])[a-z1]*")
-_HINT = re.compile(r"(?:^|[ \n.\-_*])[a-z0-9][ \n.\-_*]\s?[a-z0-9](?:$|[ \n.\-_*])")
+_SIGNS = re.compile(r"[0345$@€7]+")
+_BANG = re.compile(r"!(?=[a-z])(?<=[a-z]!)")
+_HINT = re.compile(r"[ \n.\-_*][a-z0-9][ \n.\-_*]\s?[a-z0-9][ \n.\-_*]")
 _APART = re.compile(r"(?<![a-z0-9])[a-z0-9](?:(?:[ .\-_*]|\n *)[a-z0-9]){2,}(?![a-z0-9])")
-_RUN = re.compile(r"([a-z])\1+")
+
+
+def _squeeze(text: str) -> str:
+    """Every run of equal characters as one of them."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    keep = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=keep[1:])
+    return codes[keep].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 class _Bare(dict):
@@ -140,7 +147,7 @@ def _bare(text: str) -> str:
 
 
 def _term(text: str) -> str:
-    return _RUN.sub(r"\1", " ".join(_bare(text).translate(_WORDS).split()))
+    return _squeeze(" ".join(_bare(text).translate(_WORDS).split()))
 
 
 class Scorer:
@@ -181,7 +188,7 @@ class Scorer:
                 run += letters
                 continue
             if run:
-                run, at = _RUN.sub(r"\1", run), 0
+                run, at = _squeeze(run), 0
                 for end, word in self.words.iter_long(run):
                     out += [run[at : end - len(word) + 1], word]
                     at = end + 1
@@ -198,26 +205,29 @@ class Scorer:
             return "".join(_LEET.get(c, c) for c in m.group())
         return m.group()
 
-    def _one(self, m: re.Match) -> str:
+    def _one(self, word: str) -> str:
         """A word with `1` for i or l: the reading that is a lexicon word, else i."""
-        word = m.group()
+        if word.isdigit():
+            return word
         for letter in "il":
-            if _RUN.sub(r"\1", word.replace("1", letter)) in self.words:
+            if _squeeze(word.replace("1", letter)) in self.words:
                 return word.replace("1", letter)
         return word.replace("1", "i")
 
     def fold(self, text: str) -> str:
-        text = _SIGNS.sub(self._letters, _bare(text))
-        text = _BANG.sub("i", text)
-        if "1" in text:
-            text = _ONE.sub(self._one, text)
+        text = " " + _SIGNS.sub(self._letters, _bare(text)) + " "
+        if "!" in text:
+            text = _BANG.sub("i", text)
         if _HINT.search(text):
             text = _APART.sub(self._join, text)
-        return _RUN.sub(r"\1", " " + " ".join(text.translate(_WORDS).split()) + " ")
+        words = text.translate(_WORDS).split()
+        if "1" in text:
+            words = [self._one(w) if "1" in w else w for w in words]
+        return _squeeze(" " + " ".join(words) + " ")
 
     def score(self, text: str | None) -> tuple[float, float, str | None, list[str]]:
         """Score, weight per 1,000 words, the kind of most weight (null if none) and the distinct terms found."""
-        parts = visible(text)
+        parts = visible(text, machine=False)
         if not parts:
             return 0.0, 0.0, None, []
         folded = self.fold("\n\n".join(parts))

@@ -30,6 +30,9 @@ _HIDDEN = re.compile(r"<(script|style|title|template)\b.*?</\1\s*>|<!--.*?-->",
 _BLOCK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|hr|body|html|head))\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>")
 _CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+_MACHINE = re.compile(
+    r"^(?:message-id|references|in-reply-to|received|date|mime-version|content-[a-z-]+|return-path|dkim-signature):.*\n?", re.I | re.M
+)
 _MAX_DEPTH = 20
 
 
@@ -81,7 +84,7 @@ def _split(text: str) -> tuple[str, str]:
     return head, body
 
 
-def _entity(text: str, out: list[str], depth: int, show_headers: bool) -> None:
+def _entity(text: str, out: list[str], depth: int, show_headers: bool, machine: bool) -> None:
     head, body = _split(text)
     kind, encoding = "text/plain", ""
     if head:
@@ -92,6 +95,7 @@ def _entity(text: str, out: list[str], depth: int, show_headers: bool) -> None:
             else:
                 encoding = value.strip().lower()
         if show_headers:
+            head = head if machine else _MACHINE.sub("", head)
             out.append(_ENCODED_WORD.sub(_encoded_word, head) if "=?" in head else head)
     low = kind[:16].lower()
     if low.startswith("multipart/") and depth < _MAX_DEPTH:
@@ -106,12 +110,12 @@ def _entity(text: str, out: list[str], depth: int, show_headers: bool) -> None:
                         break
                     if line.strip():
                         out.append(line)  # a longer line that only begins like the boundary
-                    _entity(rest, out, depth + 1, False)
+                    _entity(rest, out, depth + 1, False, machine)
                 return
     if not body:
         return
     if low.startswith("message/") and depth < _MAX_DEPTH:
-        _entity(body.lstrip("\n"), out, depth + 1, True)
+        _entity(body.lstrip("\n"), out, depth + 1, True, machine)
         return
     textual = low.startswith(("text/", "multipart/")) or "/" not in low
     if encoding.startswith("base64"):
@@ -138,12 +142,14 @@ def _entity(text: str, out: list[str], depth: int, show_headers: bool) -> None:
     out.append(body)
 
 
-def visible(text: str | None) -> list[str]:
-    """The segments of a raw message that a reader sees, in order; [] for null and empty text."""
+def visible(text: str | None, machine: bool = True) -> list[str]:
+    """The segments of a raw message that a reader sees, in order; [] for null and empty text.
+
+    machine: whether header fields that are written and read by programs (ids, dates, types) are among them."""
     if not text:
         return []
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[str] = []
-    _entity(text, out, 0, True)
+    _entity(text, out, 0, True, machine)
     return out
