@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,6 +23,8 @@ import regex
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the pattern that cuts text into pieces before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ASCII texts, where it finds the same pieces in less than half the time.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 LONG = 192
 _BUCKETS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
 _NONE = np.int32(1 << 30)
@@ -40,6 +43,7 @@ class Encoder:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self._hash_pairs()
         self.split = regex.compile(PATTERN).findall
+        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
         self._reset()
 
     # -- pairs ---------------------------------------------------------------------------------------------------------
@@ -202,7 +206,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            pieces = self.split(text)
+            pieces = self.split_ascii(text) if text.isascii() else self.split(text)
             counts[i] = len(pieces)
             for p in set(pieces).difference(code):
                 code[p] = len(code)

@@ -43,6 +43,12 @@ def test_any_text(reference, texts):
     _same(reference, texts)
 
 
+@given(st.lists(st.text(st.characters(max_codepoint=127), max_size=200), max_size=8))
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_ascii_text(reference, texts):
+    _same(reference, texts)
+
+
 def test_pieces_beyond_the_matrices(reference):
     rng = np.random.default_rng(1)
     _same(reference, ["".join(rng.choice(list("abcdeé"), n)) for n in (190, 192, 193, 300, 2000)])
