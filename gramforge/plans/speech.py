@@ -152,10 +152,8 @@ def tuned_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    path = checkpoint_dir(spark).removeprefix("file:")
-    path = os.path.join("/" + path.lstrip("/"), f"files-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
+    """A new folder's URI within the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def arpa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +168,7 @@ def counts_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arpa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model written as an ARPA file in parts and read again: rows, and the largest difference of log10 values."""
     m = checkpoint(kn(spark, sf_dir))
-    folder = "file://" + _scratch(spark) + "/lm"
+    folder = _scratch(spark) + "/lm"
     rows, sort = files.arpa_lines(m, ORDER)
     rows.orderBy(*sort).select("value").write.text(folder)
     again = files.arpa(spark, folder, ORDER)
@@ -222,8 +220,8 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark)
     path = f"{sf_dir}/documents.parquet"
     docs = docs.parquet(path if os.path.isdir(path) else f"{sf_dir}/documents.parque[t]")
-    stream.merge_counts(docs, 2, f"file://{folder}/counts", f"file://{folder}/state").awaitTermination()
-    return stream.total_counts(spark.read.parquet(f"file://{folder}/counts"))
+    stream.merge_counts(docs, 2, f"{folder}/counts", f"{folder}/state").awaitTermination()
+    return stream.total_counts(spark.read.parquet(f"{folder}/counts"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -178,18 +178,22 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def is_table(name: str) -> bool:
-    """Whether a path is a Parquet table."""
-    if os.path.isdir(name):
-        return any(x.endswith(".parquet") for x in os.listdir(name))
-    with open(name, "rb") as f:
-        return f.read(4) == b"PAR1"
+    """Whether a path, local or of any file system that Spark reads, is a Parquet table."""
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isDirectory():
+        return any(x.getPath().getName().endswith(".parquet") for x in fs.listStatus(path))
+    return path.getName().endswith(".parquet")
 
 
 # -- sinks -------------------------------------------------------------------------------------------------------------
 
 
 def write_lines(rows: DataFrame, name: str, sort: list[Column] | None = None, single: bool = True) -> None:
-    """Writes column value as text, in the order of sort."""
+    """Writes column value as text, in the order of sort; to a folder of parts where `single` is false or the path is not
+    a local one."""
+    single = single and "://" not in name
     rows = rows.orderBy(*sort) if sort else rows
     part = name + ".parts" if single else name
     rows.select("value").write.mode("overwrite").text(part)
