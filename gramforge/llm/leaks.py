@@ -1,8 +1,8 @@
 """Problem 2: evaluation texts that leak into training text.
 
-The test items, normalised to word sequences, go into one generalised suffix automaton, built on the driver and broadcast.
-The items are the held-out set: their total size is checked against `MAX_ITEM_WORDS`; a larger set is searched in blocks
-of items, one pass over the documents for each block.  Every document streams its normalised words through the automaton,
+The test items, normalised to word sequences, go into generalised suffix automata, built on the driver and broadcast.  An
+automaton holds at most `MAX_ITEM_WORDS` words of items (and one item at least); a larger set is searched in blocks of
+items, one pass over the documents for each block.  Every document streams its normalised words through the automaton,
 which tracks the longest match that ends at each word; where that is at least `min_words` long, the items that hold the
 last `min_words` words are looked up in the state.  No shuffle, no pairs, memory bounded by the items and one document.
 
@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .mime import visible
 
 MIN_WORDS = 12
 MAX_COVERAGE = 0.5
-MAX_ITEM_WORDS = 2_000_000
+MAX_ITEM_WORDS = 200_000
 _MEMO = 400_000
 
 
@@ -183,17 +185,25 @@ class Finder:
         return all(self.ids[w] == -2 for w in words[at : end - 1])
 
 
-def items_automaton(items: DataFrame, id_column: str, text_column: str, min_words: int) -> SuffixAutomaton:
+def item_automata(items: DataFrame, id_column: str, text_column: str, min_words: int) -> list[SuffixAutomaton]:
+    """One automaton for each block of items; items without an id or with fewer than min_words words are left out.  There
+    is always one automaton."""
     rows = items.select(id_column, text_column).where(F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
-    pairs, total = [], 0
+    out: list[SuffixAutomaton] = []
+    block: list[tuple[int, list[str]]] = []
+    total = 0
     for r in rows.orderBy(id_column).toLocalIterator():
         words = words_of(r[1])
+        if len(words) < min_words:
+            continue
+        if block and total + len(words) > MAX_ITEM_WORDS:
+            out.append(SuffixAutomaton(block, min_words))
+            block, total = [], 0
+        block.append((r[0], words))
         total += len(words)
-        if total > MAX_ITEM_WORDS:
-            raise ValueError(f"more than {MAX_ITEM_WORDS} words of items: search them in blocks")
-        if len(words) >= min_words:
-            pairs.append((r[0], words))
-    return SuffixAutomaton(pairs, min_words)
+    if block or not out:
+        out.append(SuffixAutomaton(block, min_words))
+    return out
 
 
 def find_leaks(
@@ -212,14 +222,12 @@ def find_leaks(
     Null, empty and shorter items match nothing, null and empty documents hold nothing.  Items that share a passage are
     all listed, and every copy of a document is.
     """
-    spark = docs.sparkSession
-    automaton = items_automaton(items, item_column, item_text_column, min_words)
-    shared = spark.sparkContext.broadcast(automaton)
+    context = docs.sparkSession.sparkContext
     picked = spread(docs.select(id_column, *keep, F.col(text_column).alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1])
     item_type = items.schema[item_column].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
         for batch in batches:
             row, item, longest, cover = [], [], [], []
@@ -236,7 +244,11 @@ def find_leaks(
                     [*out.schema.names[:-1], item_column, "n_words", "coverage"],
                 )
 
-    return picked.mapInArrow(run, f"{schema}, `{item_column}` {item_type}, n_words int, coverage double")
+    found = [
+        picked.mapInArrow(partial(run, context.broadcast(a)), f"{schema}, `{item_column}` {item_type}, n_words int, coverage double")
+        for a in item_automata(items, item_column, item_text_column, min_words)
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_leaks(
@@ -254,40 +266,50 @@ def remove_leaks(
     Columns: id, clean (segments joined by blank lines; null for null texts), n_removed (words cut), dropped (true if
     passages make up more than max_coverage of the document's words: clean is then empty).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items_automaton(items, item_column, item_text_column, min_words))
+    context = docs.sparkSession.sparkContext
     picked = spread(docs.select(id_column, F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
+    none = F.array().cast("array<bigint>")
+    marked = picked.withColumn("__cut", none)
 
-    def clean(finder: Finder, text: str | None) -> tuple[str | None, int, bool]:
+    def mark(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the places of words to cut, counted over all segments."""
+        finder = Finder(shared.value)
+        for batch in batches:
+            cuts = []
+            for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cut, at = set(before), 0
+                for segment in visible(text):
+                    words = segment.split()
+                    for first, end, _ in finder.spans(words):
+                        cut.update(range(at + first, at + end))
+                    at += len(words)
+                cuts.append(sorted(cut))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cuts, pa.list_(pa.int64()))], batch.schema.names)
+
+    for automaton in item_automata(items, item_column, item_text_column, min_words):
+        marked = marked.mapInArrow(partial(mark, context.broadcast(automaton)), f"`{id_column}` {kind}, __text string, __cut array<bigint>")
+
+    def clean(text: str | None, places_cut: list[int]) -> tuple[str | None, int, bool]:
         if text is None:
             return None, 0, False
-        kept, removed, total = [], 0, 0
+        gone, kept, n = set(places_cut), [], 0
         for segment in visible(text):
-            places = [m.span() for m in re.finditer(r"\S+", segment)]
-            total += len(places)
-            cut = np.zeros(len(places), bool)
-            for first, end, _ in finder.spans([segment[a:b] for a, b in places]):
-                cut[first:end] = True
-            if not cut.any():
-                kept.append(segment)
-                continue
-            removed += int(cut.sum())
             out, at, before = [], 0, False
-            for (a, b), gone in zip(places, cut.tolist(), strict=True):
-                if gone:
+            for m in re.finditer(r"\S+", segment):
+                if n in gone:
                     if not before:
-                        out.append(segment[at:a])
-                    at = b
-                before = gone
+                        out.append(segment[at : m.start()])
+                    at = m.end()
+                before = n in gone
+                n += 1
             kept.append("".join([*out, segment[at:]]))
-        dropped = removed > max_coverage * total
-        return ("" if dropped else "\n\n".join(kept)), removed, dropped
+        dropped = len(gone) > max_coverage * n
+        return ("" if dropped else "\n\n".join(kept)), len(gone), dropped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
         for batch in batches:
-            rows = [clean(finder, t) for t in batch.column(1).to_pylist()]
+            rows = [clean(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -299,4 +321,4 @@ def remove_leaks(
                 [id_column, "clean", "n_removed", "dropped"],
             )
 
-    return picked.mapInArrow(run, f"`{id_column}` {kind}, clean string, n_removed bigint, dropped boolean")
+    return marked.mapInArrow(run, f"`{id_column}` {kind}, clean string, n_removed bigint, dropped boolean")

@@ -89,12 +89,14 @@ def test_shared_and_short_items():
     assert _finder(items).items(["c d e", "f"]) == {}
 
 
-def test_find_and_remove(spark):
+@pytest.mark.parametrize("block", [leaks.MAX_ITEM_WORDS, 12])
+def test_find_and_remove(spark, monkeypatch, block):
+    monkeypatch.setattr(leaks, "MAX_ITEM_WORDS", block)
     docs = spark.createDataFrame(
         [(1, f"\nhello there {PASSAGE} bye now and then again more words follow here too", "x"), (2, None, "y"), (3, "", "z"), (1, "\nnothing", "x"), (4, "\n" + PASSAGE, "w")],
         "doc_id long, text string, item_id string",
     )
-    items = spark.createDataFrame([(1, PASSAGE, "p"), (2, None, "q"), (3, "short", "r")], "item_id long, text string, purpose string")
+    items = spark.createDataFrame([(1, PASSAGE, "p"), (2, None, "q"), (3, "short", "r"), (4, "one two " * 9, "s")], "item_id long, text string, purpose string")
     found = leaks.find_leaks(docs, items, min_words=11).collect()
     assert sorted((r.doc_id, r.item_id, r.n_words, r.coverage) for r in found) == [(1, 1, 11, 1.0), (4, 1, 11, 1.0)]
     clean = {(r.doc_id, r.clean): (r.n_removed, r.dropped) for r in leaks.remove_leaks(docs, items, min_words=11).collect()}
