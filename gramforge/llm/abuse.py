@@ -7,6 +7,8 @@ to hide a word: invisible characters, look-alike letters, digits and signs for l
 term counted once: a length-normalised density, so that one abusive sentence in a long mail weighs as much as in a short
 one.  `per_1000` gives the total weight for each 1,000 words.  A document is flagged from `THRESHOLD` on.
 
+Scored are the header fields that people write and read, and all parts (`mime.visible`).
+
 The lexicon is data (`LEXICON`), open to other lists through the `lexicon` and `exceptions` parameters; it is the only
 thing sent to the tasks and its size does not depend on the data.  Each document is scored alone, in one pass without a
 shuffle; null and empty texts score 0.
