@@ -146,7 +146,8 @@ def test_command_line(spark, folder, capsys):
     assert [x.split("\t")[0] for x in out] == ["perplexity", "margin", "wer"]
     assert "ngram 3" not in (folder / "cut.lm").read_text() and "\na\n" in (folder / "cut.v").read_text()
     for kind in ("LI", "CM"):
-        run("interpolate", "-t", f"{folder}/a.txt,{folder}/b.txt", "-i", kind, "-ep", folder / "b.txt", "-wl", folder / f"{kind}.lm", "-op", folder / "b.txt", "-oa", "Powell")
+        tuned = ["-op", folder / "b.txt", "-oa", "Powell"] if kind == "LI" else []  # CM is tuned by whole jobs, too slow for a test
+        run("interpolate", "-t", f"{folder}/a.txt,{folder}/b.txt", "-i", kind, "-ep", folder / "b.txt", "-wl", folder / f"{kind}.lm", *tuned)
         assert capsys.readouterr().out.startswith("perplexity")
     run("interpolate", "-l", f"{folder}/a.lm,{folder}/b.lm", "-op", folder / "b.txt", "-wp", folder / "q")
     assert len(files.read_params(f"{folder}/q")) == 1
