@@ -112,7 +112,7 @@ def merge(parts: DataFrame) -> DataFrame:
 
 def intervals(rows: DataFrame, item: str, count: str, k: int, epsilon: float = EPSILON) -> tuple[DataFrame, int, int]:
     """(item, at_least, at_most) of every item that may be among the k most frequent, the k-th largest at_least, and
-    what an item without a row may have at most."""
+    what an item without a row may have at most.  Where fewer than k items are left of more, the k-th at_least is 0."""
     parts = checkpoint(summaries(rows, item, count, epsilon))
     missing = parts.where(F.col("item").isNull()).agg(F.coalesce(F.sum("missing"), F.lit(0))).first()[0]
     merged = merge(parts).select(
@@ -120,7 +120,10 @@ def intervals(rows: DataFrame, item: str, count: str, k: int, epsilon: float = E
         "at_least",
         (F.col("at_least") + F.col("present_delta") + F.lit(missing) - F.col("present_missing")).alias("at_most"),
     )
-    kth = merged.orderBy(F.col("at_least").desc()).limit(k).agg(F.coalesce(F.min("at_least"), F.lit(0))).first()[0]
+    best = merged.orderBy(F.col("at_least").desc()).limit(k)
+    n, kth = best.agg(F.count(F.lit(1)), F.coalesce(F.min("at_least"), F.lit(0))).first()
+    if n < k and missing:  # the lower ranks were dropped everywhere
+        kth = 0
     return merged.where(F.col("at_most") >= kth), kth, missing
 
 

@@ -71,3 +71,12 @@ def test_top_of_little(spark):
     assert lossy.top_items(df.limit(0), "item", "cnt", 3).collect() == []
     once = lossy.deliveries_once(spark.createDataFrame([(1, "a", 4), (1, "a", 4), (2, "a", None)], "s long, g string, cnt long"), ["s", "g"], "cnt")
     assert sorted((r.s, r.cnt) for r in once.collect()) == [(1, 4), (2, 0)]
+
+
+def test_top_items_of_short_summary(spark):
+    rows = [(f"heavy{i}", 1_000_000 + i) for i in range(3)] + [(f"light{i}", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "item string, cnt long").coalesce(1)
+    _, kth, missing = lossy.intervals(df, "item", "cnt", 6, 0.01)
+    assert (kth, missing > 49) == (0, True)
+    got = [(r.item, r.total) for r in lossy.top_items(df, "item", "cnt", 6, 0.01).collect()]
+    assert got == [*rows[2::-1], *rows[:-4:-1]]
