@@ -98,16 +98,20 @@ def replace_unknown(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def add_missing(counts: DataFrame) -> DataFrame:
-    """counts with count-0 rows for the prefixes and suffixes they lack; equal n-grams are added up."""
-    k = keyed(counts)
-    top = k.where("ord > 1")
-    more = top.select((F.col("ord") - 1).alias("ord"), F.explode(F.array("hist", "suffix")).alias("ngram")).distinct()
-    # a missing n-gram's own prefixes and suffixes are inner parts of the same n-gram
-    for _ in range(1):
-        k2 = keyed(more).where("ord > 1")
-        more = more.unionByName(
-            k2.select((F.col("ord") - 1).alias("ord"), F.explode(F.array("hist", "suffix")).alias("ngram"))
-        ).distinct()
+    """counts with count-0 rows for the prefixes and suffixes they lack, and for those of these, down to the unigrams;
+    equal n-grams are added up."""
+    size, w = F.col("ord"), F.split("ngram", " ")
+    # the prefixes and suffixes of an n-gram, and theirs in turn, are all of its shorter runs of words
+    inner = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size - 1),
+            lambda o: F.transform(
+                F.sequence(F.lit(1), size - o + 1),
+                lambda i: F.struct(o.alias("ord"), F.array_join(F.slice(w, i, o), " ").alias("ngram")),
+            ),
+        )
+    )
+    more = counts.where("ord > 1").select(F.explode(inner).alias("__g")).select("__g.*").distinct()
     zero = more.withColumn("cnt", F.lit(0).cast("bigint"))
     return counts.select("ord", "ngram", "cnt").unionByName(zero).groupBy("ord", "ngram").agg(F.sum("cnt").alias("cnt"))
 

@@ -107,6 +107,14 @@ def test_missing_parts(spark):
     assert as_dict(C.add_missing(rows)) == want
 
 
+def test_missing_parts_of_all_orders(spark):
+    rows = spark.createDataFrame([(5, "</s> a b a c", 5), (5, "a b a c d", 2)], "ord int, ngram string, cnt long")
+    want = {(r.ord, r.ngram): r.cnt for r in rows.collect()}
+    for g in [g.split(" ") for _, g in want]:
+        want |= {(o, " ".join(g[i : i + o])): 0 for o in range(1, 5) for i in range(6 - o)}
+    assert as_dict(C.add_missing(rows)) == want
+
+
 def test_vocabulary_file(spark):
     rows = spark.createDataFrame([("a",), ("# no",), ("",), (" ",), (None,), ("b x",), ("a",)], "value string")
     assert sorted(r.word for r in T.vocabulary(rows).collect()) == ["a", "b"]
