@@ -2,6 +2,8 @@
 
 No Spark job runs per evaluation.  What a held-out set needs of the model is collected once as compact statistics whose
 number is that of the set's distinct n-grams (checked against `MAX_CONTEXTS`); each evaluation is a few numpy operations.
+Feature weights need sums over all followers of a history besides, whose number grows with the corpus: beyond
+`MAX_CONTEXTS` sums these stay distributed and each evaluation is one aggregation.
 """
 
 from __future__ import annotations
@@ -117,27 +119,42 @@ def kneser_ney_statistics(counts: DataFrame, looked: DataFrame, order: int, numb
 
 @dataclass
 class WeightedStatistics(KneserNeyStatistics):
-    """The same with weighting features: an n-gram counts exp(weights . features) times, so the followers of each needed
-    history stay apart.  Parameters are the discounts, then one weight for each feature."""
-
-    hist_of: np.ndarray = None  # history of each follower
+    """The same with weighting features: an n-gram counts exp(weights . features) times, so of each needed history the
+    followers with other features or another discount stay apart.  Parameters are the discounts, then one weight for each
+    feature."""
+
+    hists: dict[tuple[int, str], int] = None  # number of each needed history
+    followers: DataFrame | None = None  # (ord, hist, bin, f, n, eff); null where they were collected
+    hist_of: np.ndarray = None  # of the collected followers: history
+    follower_bin: np.ndarray = None  # place of the discount
+    follower_n: np.ndarray = None
     follower_eff: np.ndarray = None
-    follower_order: np.ndarray = None
     follower_features: np.ndarray = None  # (followers, features)
     own_features: np.ndarray = None  # (contexts, order, features)
     hist_at: np.ndarray = None  # (contexts, order): history of this order's n-gram, -1 where it doesn't exist
 
+    def _sums(self, d: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted effective count, and what the discounts take of it, of each history; 0 at the end."""
+        size = len(self.hists)
+        if self.followers is None:
+            w = np.exp(self.follower_features @ theta)
+            total = np.bincount(self.hist_of, w * self.follower_eff, size)
+            taken = np.bincount(self.hist_of, w * self.follower_n * d.ravel()[self.follower_bin], size)
+            return np.append(total, 0.0), np.append(taken, 0.0)
+        score = sum((F.lit(float(t)) * F.element_at("f", i + 1) for i, t in enumerate(theta)), F.lit(0.0))
+        discount = F.element_at(F.array(*[F.lit(float(x)) for x in d.ravel()]), F.col("bin") + 1)
+        rows = self.followers.withColumn("w", F.exp(score)).groupBy("ord", "hist")
+        total, taken = np.zeros(size + 1), np.zeros(size + 1)
+        for o, hist, t, x in rows.agg(F.sum(F.col("w") * F.col("eff")), F.sum(F.col("w") * F.col("n") * discount)).collect():
+            total[self.hists[o, hist]], taken[self.hists[o, hist]] = t, x
+        return total, taken
+
     def log_probabilities(self, params: np.ndarray) -> np.ndarray | None:
         n = self.order * self.number
         d, theta = np.asarray(params[:n], float).reshape(self.order, self.number), np.asarray(params[n:], float)
         if np.any(d < 0) or np.any(d > np.arange(1, self.number + 1)) or np.any(np.abs(theta) > MAX_FEATURE_WEIGHT):
             return None
-        w = np.exp(self.follower_features @ theta)
-        size = int(self.hist_of.max(initial=-1)) + 1
-        k = np.clip(self.follower_eff, 1, self.number).astype(int) - 1
-        cut = np.where(self.follower_eff > 0, d[self.follower_order - 1, k], 0.0)
-        total = np.append(np.bincount(self.hist_of, w * self.follower_eff, size), 0.0)
-        taken = np.append(np.bincount(self.hist_of, w * cut, size), 0.0)
+        total, taken = self._sums(d, theta)
         prob, out = np.full(len(self.count), self.p0), np.zeros(len(self.count))
         with np.errstate(divide="ignore", invalid="ignore"):
             for o in range(self.order):
@@ -153,8 +170,8 @@ class WeightedStatistics(KneserNeyStatistics):
 def weighted_statistics(
     counts: DataFrame, looked: DataFrame, order: int, number: int, features: DataFrame, n_features: int, closed: bool = False
 ) -> WeightedStatistics:
-    """features: (ord, ngram, f array<double>).  The followers of the held-out set's histories are collected, at most
-    `MAX_CONTEXTS` of them."""
+    """features: (ord, ngram, f array<double>).  The followers of the held-out set's histories are summed by history,
+    discount and features; at most `MAX_CONTEXTS` such sums are collected, more stay distributed."""
     s = kneser_ney_statistics(counts, looked, order, number, closed)
     eff = keyed(effective_counts(counts, order)).select("ord", "ngram", "hist", "eff")
     f = F.coalesce("f", F.array(*[F.lit(0.0)] * n_features))
@@ -162,27 +179,38 @@ def weighted_statistics(
     words = F.split("ngram", " ")
     tries = F.transform(
         F.sequence(F.lit(1), F.col("ctx")),
-        lambda o: F.struct(o.alias("ord"), F.array_join(F.slice(words, F.col("ctx") - o + 1, o - 1), " ").alias("hist")),
+        lambda o: F.struct(
+            o.alias("ord"),
+            F.array_join(F.slice(words, F.col("ctx") - o + 1, o), " ").alias("g"),
+            F.array_join(F.slice(words, F.col("ctx") - o + 1, o - 1), " ").alias("hist"),
+        ),
     )
-    needed = looked.select(F.explode(tries).alias("t")).select("t.*").distinct()
-    followers = _bounded(eff.join(needed, ["ord", "hist"], "left_semi").orderBy("ord", "ngram"))
-    hists: dict[tuple[int, str], int] = {}
-    hist_of = np.array([hists.setdefault((r["ord"], r["hist"]), len(hists)) for r in followers], int)
-    own = {(r["ord"], r["ngram"]): r["f"] for r in followers}
+    parts = looked.select("ctx", "ngram", F.explode(tries).alias("t")).select("ctx", "ngram", "t.*")
+    own = parts.join(eff.select("ord", F.col("ngram").alias("g"), "f"), ["ord", "g"]).groupBy("ctx", "ngram")
+    own = {(r["ctx"], r["ngram"]): r["t"] for r in _bounded(own.agg(F.collect_list(F.struct("ord", "f")).alias("t")))}
+    place = ((F.col("ord") - 1) * number + F.least("eff", F.lit(number)) - 1).cast("int").alias("bin")
+    followers = eff.where("eff > 0").join(parts.select("ord", "hist").distinct(), ["ord", "hist"], "left_semi")
+    followers = followers.groupBy("ord", "hist", place, "f").agg(F.count(F.lit(1)).alias("n"), F.sum("eff").alias("eff"))
+    followers = checkpoint(followers)
+    # at most one history for each context and order
+    hists = {(r["ord"], r["hist"]): i for i, r in enumerate(followers.select("ord", "hist").distinct().orderBy("ord", "hist").collect())}
+    few = followers.count() <= MAX_CONTEXTS
+    got = followers.orderBy("ord", "hist", "bin", "f").collect() if few else []
     m = len(s.count)
     own_features, hist_at = np.zeros((m, order, n_features)), np.full((m, order), -1)
     for i, (ctx, ngram) in enumerate(s.context):
         w = ngram.split(" ")
         for o in range(1, ctx + 1):
-            part = w[ctx - o :]
-            hist_at[i, o - 1] = hists.get((o, " ".join(part[:-1])), -1)
-            own_features[i, o - 1] = own.get((o, " ".join(part)), own_features[i, o - 1])
+            hist_at[i, o - 1] = hists.get((o, " ".join(w[ctx - o : -1])), -1)
+        for o, values in own.get((ctx, ngram), []):
+            own_features[i, o - 1] = values
     fields = {k: getattr(s, k) for k in KneserNeyStatistics.__dataclass_fields__}
     fields["default"] = np.concatenate([s.default, np.zeros(n_features)])
     return WeightedStatistics(
-        **fields, hist_of=hist_of, follower_eff=np.array([r["eff"] for r in followers], float),
-        follower_order=np.array([r["ord"] for r in followers], int),
-        follower_features=np.array([r["f"] for r in followers], float).reshape(-1, n_features),
+        **fields, hists=hists, followers=None if few else followers,
+        hist_of=np.array([hists[r["ord"], r["hist"]] for r in got], int), follower_bin=np.array([r["bin"] for r in got], int),
+        follower_n=np.array([r["n"] for r in got], float), follower_eff=np.array([r["eff"] for r in got], float),
+        follower_features=np.array([r["f"] for r in got], float).reshape(-1, n_features),
         own_features=own_features, hist_at=hist_at,
     )
 

@@ -255,6 +255,23 @@ def test_tuned_feature_weights(spark, counts):
     assert s.entropy(params) == math.inf
 
 
+def test_feature_weights_of_many_followers(spark, counts, monkeypatch):
+    looked = checkpoint(tune.held_out_contexts(counts, _tokens(spark, ["a b c"]), ORDER, ["doc_id"]))
+    f = checkpoint(counts.selectExpr("ord", "ngram", "array(pmod(xxhash64(ngram), 1000) / 1000, 1D) as f"))
+    near = tune.weighted_statistics(counts, looked, ORDER, 2, f, 2)
+    monkeypatch.setattr(tune, "MAX_CONTEXTS", len(near.count))
+    far = tune.weighted_statistics(counts, looked, ORDER, 2, f, 2)
+    assert near.followers is None and far.followers is not None and not len(far.hist_of)
+    params = far.default.copy()
+    params[-2:] = 0.7, -0.4
+    for x in (far.default, params):
+        assert far.entropy(x) == pytest.approx(near.entropy(x), abs=1e-12)
+    d = {o + 1: params[:-2].reshape(ORDER, 2)[o].tolist() for o in range(ORDER)}
+    m = checkpoint(S.kneser_ney(counts, ORDER, 2, given=d, features=f, weights=[0.7, -0.4]))
+    dev = _tokens(spark, ["a b c"])
+    assert E.perplexity(dev, m, ORDER, ["doc_id"]).first().entropy == pytest.approx(far.entropy(params), abs=1e-9)
+
+
 def test_smoothing_by_order(counts):
     same = {r.ngram: r.prob for r in S.kneser_ney(counts, ORDER, 2).collect()}
     assert same == {r.ngram: r.prob for r in S.kneser_ney(counts, ORDER, [2, 2, 2]).collect()}
