@@ -210,6 +210,19 @@ class Mixed:
         self.with_params(best.x.tolist())
         return best
 
+    def tune_lattices(self, arcs: DataFrame, refs: DataFrame, what: str, technique: str) -> tune.Minimum:
+        """what: wer or margin.  One interpolation and rescoring for each evaluation."""
+        arcs = checkpoint(arcs)
+
+        def cost(x: np.ndarray) -> float:
+            self.with_params(x.tolist())
+            value = L.word_error_rate(L.utterances(L.rescore(arcs, self.model(), self.order), refs)).first()[what]
+            return float("inf") if value is None else {"wer": value, "margin": -value}[what]
+
+        best = tune.minimise(technique, cost, np.array(self.params()))
+        self.with_params(best.x.tolist())
+        return best
+
 
 def interpolate(
     spark: SparkSession,

@@ -153,6 +153,10 @@ def interpolate(o: dict) -> None:
     if o["opt-perp"]:
         best = m.tune_perplexity(files.corpus(spark, o["opt-perp"]), o["opt-alg"])
         log.info("entropy %f after %d evaluations", best.value, best.evaluations)
+    for what in ("margin", "wer"):
+        if o[f"opt-{what}"]:
+            best = m.tune_lattices(*api.load_lattices(spark, o[f"opt-{what}"]), what, o["opt-alg"])
+            log.info("%s %f after %d evaluations", what, best.value, best.evaluations)
     if o["write-params"]:
         files.write_params(m.params(), o["write-params"])
     if o["write-vocab"]:

@@ -6,12 +6,15 @@ import bz2
 import gzip
 import zipfile
 
+import numpy as np
 import pytest
 
 from gramforge import api, cli
 from gramforge.operators import counts as C
 from gramforge.operators import smoothing as S
 from gramforge.operators import text as T
+from gramforge.operators import tune
+from gramforge.operators.optimize import Minimum
 from gramforge.options import Option, Options, split_list, truth
 from gramforge.sources import files
 from gramforge.streaming import counts as stream
@@ -161,6 +164,26 @@ def test_command_line(spark, folder, capsys):
     run("evaluate", "-h")
 
 
+def test_interpolation_tuned_on_lattices(spark, folder, monkeypatch):
+    values = []
+
+    def better_of_two(technique, f, x0):
+        values.append([f(np.array([b])) for b in (0.0, 3.0)])
+        k = int(np.argmin(values[-1]))
+        return Minimum(np.array([3.0 * k]), values[-1][k], 1, 2)
+
+    monkeypatch.setattr(tune, "minimise", better_of_two)
+    texts = f"{folder}/a.txt,{folder}/b.txt"
+    m = api.interpolate(spark, 2, text=texts.split(","))
+    run("interpolate", "-o", 2, "-t", texts, "-om", folder / "lattices", "-ow", folder / "lattices", "-wp", folder / "q")
+    for what, sign, got in zip(("margin", "wer"), (-1, 1), values, strict=True):
+        for b, value in zip((0.0, 3.0), got, strict=True):
+            m.with_params([b])
+            assert sign * value == pytest.approx(api.evaluate_lattices(spark, m.model(), 2, f"{folder}/lattices")[what])
+    assert values[0][0] != values[0][1]
+    assert files.read_params(f"{folder}/q") == [3.0 * int(np.argmin(values[1]))]
+
+
 def test_weighted_by_a_feature_file(spark, folder):
     (folder / "w").write_text("b c 1\nc d 2\n")
     e = api.estimate(spark, 2, text=f"{folder}/a.txt", weight_features=f"log1p:{folder}/w", weights=[0.4])
