@@ -226,14 +226,20 @@ def held_out_contexts(counts: DataFrame, tokens: DataFrame, order: int, keep: li
 
 
 class LatticeObjective:
-    """WER and margin of collected lattices as functions of the discounts."""
+    """WER and margin of collected lattices as functions of the discounts.
+
+    Fails, as rescoring does, on an arc whose histories differ in their score."""
 
     def __init__(self, counts: DataFrame, arcs: DataFrame, refs: DataFrame, order: int, number: int) -> None:
         looked = arc_contexts(arcs, order)
-        one = looked.groupBy("tag", "arc").agg(F.min(F.struct("ctx", "ngram")).alias("c")).select("tag", "arc", "c.*")
-        self.s = kneser_ney_statistics(counts, one.groupBy("ctx", "ngram").agg(F.count(F.lit(1)).alias("cnt")), order, number)
+        self.s = kneser_ney_statistics(counts, looked.groupBy("ctx", "ngram").agg(F.count(F.lit(1)).alias("cnt")), order, number)
         index = {c: i for i, c in enumerate(self.s.context)}
-        rows = _bounded(arcs.join(one, ["tag", "arc"]).orderBy("tag", "src", "dst", "arc"))
+        each = looked.groupBy("tag", "arc").agg(F.array_sort(F.collect_set(F.struct("ctx", "ngram"))).alias("c"))
+        rows = _bounded(arcs.join(each, ["tag", "arc"]).orderBy("tag", "src", "dst", "arc"))
+        # of arcs with several contexts: the first and each other one
+        self.first = np.array([index[tuple(r["c"][0])] for r in rows for _ in r["c"][1:]], int)
+        self.other = np.array([index[tuple(c)] for r in rows for c in r["c"][1:]], int)
+        self.other_tag = [r["tag"] for r in rows for _ in r["c"][1:]]
         words = {r["tag"]: list(r["words"] or []) for r in _bounded(refs.select("tag", "words"))}
         self.lattices: list[tuple[Lattice, np.ndarray, np.ndarray, list[str]]] = []
         by_tag: dict[str, list] = {}
@@ -241,13 +247,18 @@ class LatticeObjective:
             by_tag.setdefault(r["tag"], []).append(r)
         for tag, g in by_tag.items():
             base = np.array([r["base_w"] for r in g])
-            at = np.array([index[r["ctx"], r["ngram"]] for r in g])
+            at = np.array([index[tuple(r["c"][0])] for r in g])
             self.lattices.append((Lattice([r["src"] for r in g], [r["dst"] for r in g], [r["word"] for r in g], base.tolist()), base, at, words.get(tag, [])))
+        self._weighed(self.s.default)
 
     def _weighed(self, params: np.ndarray) -> bool:
         lp = self.s.log_probabilities(params)
         if lp is None:
             return False
+        with np.errstate(invalid="ignore"):
+            differ = np.abs(lp[self.first] - lp[self.other]) > 1e-9
+        if differ.any():
+            raise ValueError(f"lattice history not unique: {self.other_tag[int(differ.argmax())]}")
         for lattice, base, at, _ in self.lattices:
             lattice.weight = (base - lp[at]).tolist()
         return True

@@ -113,6 +113,30 @@ def test_rescoring(spark):
         L.rescore(wrong, m, 2).collect()
 
 
+def test_tuning_with_several_histories(spark):
+    from gramforge.operators.smoothing import kneser_ney
+    from gramforge.operators.tune import LatticeObjective
+    from gramforge.operators import counts as C
+    from gramforge.operators import text as T
+
+    docs = spark.createDataFrame([("a b c\na b d\nb c\nc x\nc y\nd a",)], "text string")
+    counts = C.count_ngrams(T.token_rows(docs, []), 2).persist()
+    refs = spark.createDataFrame([("u", ["y", "b", "c"])], "tag string, words array<string>")
+
+    def lattice(word):
+        text = f"{L.HEADER}\n{L.INITIAL}\nT 0 1 x x 1\nT 0 1 {word} {word} 0.7\nT 1 2 b b\nT 2 3 c c 0.5\nT 2 3 c c\nF 3\n"
+        return L.parse_lattices(spark.createDataFrame([("u", text)], "tag string, text string"))
+
+    m = kneser_ney(counts, 2, 1)
+    o = LatticeObjective(counts, lattice("y"), refs, 2, 1)
+    want = L.word_error_rate(L.utterances(L.rescore(lattice("y"), m, 2), refs)).first()
+    assert o.word_error_rate(o.s.default) == pytest.approx(want.wer) and -o.negative_margin(o.s.default) == pytest.approx(want.margin)
+    with pytest.raises(Exception, match="history not unique"):
+        L.rescore(lattice("a"), m, 2).collect()
+    with pytest.raises(ValueError, match="history not unique: u"):
+        LatticeObjective(counts, lattice("a"), refs, 2, 1)
+
+
 def test_minimisers():
     f = lambda x: float((x[0] - 1) ** 2 + 10 * (x[1] + 2) ** 2 + x[0] * x[1])
     want = np.linalg.solve([[2, 1], [1, 20]], [2, -40])
