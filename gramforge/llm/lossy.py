@@ -7,8 +7,9 @@ and the summary stays within O(1 / epsilon * log(epsilon * weight)) entries.  Su
 deltas add, and a task that lacks the item adds its whole b to the upper end.
 
 `top_items` takes the items whose upper end reaches the k-th largest lower end and counts just these exactly.  If the k-th
-lower end does not exceed what a missing item may have, no summary can be sure; then epsilon is too coarse for these data
-and the items are counted exactly in a plain aggregation.
+lower end does not exceed what a missing item may have, epsilon is too coarse for these data and the pass is made again with
+one at which a missing item may have a quarter of that lower end.  Only where this takes an epsilon below `MIN_EPSILON`, whose
+summaries would be too large for a task, all items are counted exactly in a plain aggregation.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ..session import checkpoint
 
 EPSILON = 1e-5
 CHUNK = 1 << 18
+MIN_EPSILON = 1e-6
 MAX_BROADCAST = 10_000
 
 
@@ -136,6 +138,12 @@ def top_items(
     row, fewer than k items give all.
     """
     candidates, kth, missing = intervals(rows, item, count, k, epsilon)
+    while kth <= missing and missing:
+        # an item of at least kth then keeps 3/4 of it; where too few items were kept, kth is unknown
+        epsilon *= kth / (4 * missing) if kth else 0.01
+        if epsilon < MIN_EPSILON:
+            break
+        candidates, kth, missing = intervals(rows, item, count, k, epsilon)
     value = F.sum(F.coalesce(F.col(count).cast("bigint"), F.lit(0))).alias("total")
     exact = rows.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(count))
     if kth > missing or missing == 0:

@@ -80,3 +80,19 @@ def test_top_items_of_short_summary(spark):
     assert (kth, missing > 49) == (0, True)
     got = [(r.item, r.total) for r in lossy.top_items(df, "item", "cnt", 6, 0.01).collect()]
     assert got == [*rows[2::-1], *rows[:-4:-1]]
+
+
+@pytest.mark.parametrize("tasks", [1, 8])
+def test_top_items_with_finer_epsilon(spark, monkeypatch, tasks):
+    passes, intervals = [], lossy.intervals
+
+    def noted(*args):
+        passes.append(intervals(*args))
+        return passes[-1]
+
+    monkeypatch.setattr(lossy, "intervals", noted)
+    rows = [(f"i{i}", 10 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "item string, cnt long").repartition(tasks)
+    assert [(r.item, r.total) for r in lossy.top_items(df, "item", "cnt", 5, 0.01).collect()] == rows[:-6:-1]
+    (_, kth, missing), (_, finer_kth, finer_missing) = passes
+    assert kth <= missing and finer_kth > finer_missing
