@@ -108,6 +108,16 @@ near: porn: detection, filter, moderation, blocklist
 near: trash: folder, bin, recycling, empty
 """
 
+# Lighter terms that weigh 1 when said to somebody: one of the words of address stands at most `REACH` words
+# before, with none of the words after ":" between, or the term is followed by one of the endings.
+INSULTS = """
+bastard, idiot, cretin, scumbag, bitch, moron, imbecile, retard, dumbass, jackass, wanker, twat, prick, douchebag, lowlife,
+  fuckwit, halfwit, dimwit, trottel, depp, pisser, penner, crétin, imbécile, abruti, bâtard, ordure, salaud, imbécil, idiota, pendejo
+"""
+ADDRESS = "you, du, ihr, tu, vous, eres, sos, usted: not, no, nicht, kein, keine, keinen, pas, i, me, he, him, she, her, they, them, we, us, ich, er, sie, je, il, elle, yo, mi, me"
+ENDINGS = "like you, wie du, comme toi, comme vous, como tú"
+REACH = 4
+
 _LEET = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "€": "e", "!": "i"}
 _SIGNS = re.compile(r"[0345$@€7]+")
 _BANG = re.compile(r"!(?=[a-z])(?<=[a-z]!)")
@@ -170,6 +180,10 @@ class Scorer:
             else:
                 term, _, words = rest.partition(":")
                 self.near[_term(term)] = set(filter(None, map(_term, words.split(","))))
+        fold = lambda text: set(filter(None, map(_term, text.split(","))))
+        self.insults = {t for t in fold(INSULTS) if self.terms.get(t, (1.0, ""))[0] < 1.0}
+        self.address, self.between = map(fold, ADDRESS.split(":"))
+        self.endings = tuple(f" {e} " for e in fold(ENDINGS))
         self.automaton = ahocorasick.Automaton()
         for term in self.terms.keys() | self.excepted:
             self.automaton.add_word(f" {term} ", term)
@@ -227,6 +241,18 @@ class Scorer:
             words = [self._one(w) if "1" in w else w for w in words]
         return _squeeze(" " + " ".join(words) + " ")
 
+    def _weight(self, folded: str, a: int, b: int, term: str) -> float:
+        """Weight of a term found at folded[a : b + 1]."""
+        if term in self.insults:
+            if folded.startswith(self.endings, b):
+                return 1.0
+            for word in reversed(folded[max(0, a - 80) : a].split()[-REACH:]):
+                if word in self.between:
+                    break
+                if word in self.address:
+                    return 1.0
+        return self.terms[term][0]
+
     def score(self, text: str | None) -> tuple[float, float, str | None, list[str]]:
         """Score, weight per 1,000 words, the kind of most weight (null if none) and the distinct terms found."""
         parts = visible(text, machine=False)
@@ -254,13 +280,15 @@ class Scorer:
         if not kept:
             return 0.0, 0.0, None, []
         at = [folded.count(" ", 0, a) for a, _, _ in kept] if len(kept) > 1 else [0]
+        weights = [self._weight(folded, *h) for h in kept]
         best, best_kind = 0.0, ""
         for i in range(len(kept)):
             terms: dict[str, tuple[float, str]] = {}
             for j in range(i, len(kept)):
                 if at[j] - at[i] >= WINDOW:
                     break
-                terms[kept[j][2]] = self.terms[kept[j][2]]
+                term = kept[j][2]
+                terms[term] = max(weights[j], terms.get(term, (0.0, ""))[0]), self.terms[term][1]
             kinds: dict[str, float] = {}
             for w, k in terms.values():
                 kinds[k] = max(w, kinds.get(k, 0.0)) if k == "group" else w + kinds.get(k, 0.0)
@@ -268,7 +296,7 @@ class Scorer:
             if total > best:
                 best, best_kind = total, max(sorted(kinds), key=kinds.__getitem__)
         n_words = max(1, folded.count(" ") - 1)
-        total = sum(self.terms[t][0] for _, _, t in kept)
+        total = sum(weights)
         return round(best, 4), round(1000 * total / n_words, 4), best_kind, sorted({t for _, _, t in kept})
 
 

@@ -61,3 +61,14 @@ def test_documents(spark):
 def test_own_lexicon(spark):
     docs = spark.createDataFrame([(1, "\nthe blue moon")], "doc_id long, text string")
     assert abuse.score_documents(docs, lexicon="odd 1.0: blue moon\n", exceptions="").first().kind == "odd"
+
+
+def test_insults_said_to_somebody():
+    scorer = abuse.Scorer()
+    for text in (
+        "You are a scumbag", "you're such a b4stard", "Du bist ein Trottel", "Tu es un salaud",
+        "¡Eres un imbécil!", "no friend of mine: a twat like you",
+    ):
+        assert scorer.score(text)[0] >= abuse.THRESHOLD, text
+    for text in ("The landlord is a bastard", "you are not an idiot", "you told him he is a moron", "you need a bastard file", ""):
+        assert scorer.score(text)[0] < abuse.THRESHOLD, text
