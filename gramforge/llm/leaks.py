@@ -1,10 +1,12 @@
 """Problem 2: evaluation texts that leak into training text.
 
-The test items, normalised to word sequences, go into generalised suffix automata, built on the driver and broadcast.  An
-automaton holds at most `MAX_ITEM_WORDS` words of items (and one item at least); a larger set is searched in blocks of
-items, one pass over the documents for each block.  Every document streams its normalised words through the automaton,
-which tracks the longest match that ends at each word; where that is at least `min_words` long, the items that hold the
-last `min_words` words are looked up in the state.  No shuffle, no pairs, memory bounded by the items and one document.
+The test items, normalised to word sequences, are cut into blocks of at most `MAX_ITEM_WORDS` words; an item that is longer
+goes on in the next block, with `min_words - 1` words repeated.  The driver streams the items, holds one block at a time and
+broadcasts it as plain word sequences; each Python worker makes a block's generalised suffix automaton when it needs it and
+keeps the last `AUTOMATA` of them.  There is one pass over the documents, however many blocks there are: a batch of
+documents is decoded and folded once, then its words stream through one automaton after the other.  The automaton tracks
+the longest match that ends at each word; where that is at least `min_words` long, the items that hold the last `min_words`
+words are looked up in the state.  No shuffle, no pairs; memory is bounded by a block's automata and a batch of documents.
 
 Words are what blanks and line breaks separate in the message as a reader sees it (`mime.visible`).  A word is compared by
 its letters: look-alikes, width, case, invisible characters, punctuation, digits and quote marks do not count, and what
@@ -15,13 +17,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 from .lookalikes import to_latin
@@ -30,6 +32,7 @@ from .mime import visible
 MIN_WORDS = 12
 MAX_COVERAGE = 0.5
 MAX_ITEM_WORDS = 200_000
+AUTOMATA = 2
 _MEMO = 400_000
 
 
@@ -46,29 +49,27 @@ def words_of(text: str | None) -> list[str]:
 class SuffixAutomaton:
     """Generalised suffix automaton of the items' word sequences."""
 
-    def __init__(self, items: Iterable[tuple[int, list[str]]], min_words: int = MIN_WORDS) -> None:
+    def __init__(self, items: Iterable[tuple[object, list[str]]], min_words: int = MIN_WORDS) -> None:
         self.min_words = min_words
         self.word_ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link: list[int] = [-1]
         self.length: list[int] = [0]
-        self.item_words: dict[int, int] = {}
-        ends: list[tuple[int, int]] = []
+        ends: list[tuple[int, object]] = []
         for item, words in items:
-            self.item_words[item] = len(words)
             last = 0
             for w in words:
                 last = self._extend(last, self.word_ids.setdefault(w, len(self.word_ids)))
                 ends.append((last, item))
         # items of a state: those of all states that link to it; a state needs them only from min_words words on
-        held: list[set[int]] = [set() for _ in self.next]
+        held: list[set] = [set() for _ in self.next]
         for state, item in ends:
             held[state].add(item)
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True)
         for state in order:
             if self.link[state] > 0 and self.length[self.link[state]] >= min_words:
                 held[self.link[state]] |= held[state]
-        self.items: list[tuple[int, ...]] = [tuple(sorted(h)) for h in held]
+        self.items: list[tuple] = [tuple(h) for h in held]
         # the state of the last min_words words of what a state matches
         self.least: list[int] = [0] * len(self.next)
         for state in reversed(order):
@@ -124,86 +125,158 @@ class SuffixAutomaton:
                 yield i, n, state
 
 
-class _Words(dict):
-    """Raw word -> automaton id, -1 for words no item has, -2 for what is no word."""
+class Words:
+    """Numbers for the distinct raw words of documents; `folded` has the letters of each number ('' for what is no word)."""
 
-    def __init__(self, ids: dict[str, int]) -> None:
-        self.ids = ids
+    def __init__(self) -> None:
+        self.numbers = _Numbers(self)
+        self.folded: list[str] = []
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+
+
+class _Numbers(dict):
+    def __init__(self, owner: Words) -> None:
+        self.owner = owner
 
     def __missing__(self, raw: str) -> int:
-        word = letters(raw)
-        value = self.ids.get(word, -1) if word else -2
-        if len(self) >= _MEMO:
-            self.clear()
-        self[raw] = value
-        return value
+        self[raw] = number = len(self)
+        self.owner.folded.append(letters(raw))
+        return number
 
 
 class Finder:
-    """Spans of items within messages."""
+    """Ends of passages of a block's items within documents."""
 
     def __init__(self, automaton: SuffixAutomaton) -> None:
         self.automaton = automaton
-        self.ids = _Words(automaton.word_ids)
-
-    def spans(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(first word, end, state of the last min_words words) of each match end; indices into words."""
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
+        self.known = np.zeros(0, np.int32)
+        self.words: Words | None = None
+
+    def look_up(self, words: Words) -> None:
+        """Makes the table from word numbers to the automaton's ids: -1 for words no item has, -2 for what is no word."""
+        if words is not self.words:
+            self.words, self.known = words, np.zeros(0, np.int32)
+        ids = self.automaton.word_ids
+        more = [ids.get(w, -1) if w else -2 for w in words.folded[len(self.known) :]]
+        if more:
+            self.known = np.concatenate([self.known, np.array(more, np.int32)])
+
+    def ends(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(place of the last word, places, state of the last min_words words) of each match end.
+
+        A place counts the words of the text that are words; places has the index into numbers of each place."""
+        ids = self.known[numbers]
         places = np.flatnonzero(ids != -2)
         known = ids[places]
-        out: list[tuple[int, int, int]] = []
         gaps = np.concatenate([[-1], np.flatnonzero(known < 0), [len(known)]])
-        least = self.automaton.min_words
-        for g in np.flatnonzero(np.diff(gaps) > least):
+        for g in np.flatnonzero(np.diff(gaps) > self.automaton.min_words):
             a, b = int(gaps[g]) + 1, int(gaps[g + 1])
-            for i, n, state in self.automaton.matches(known[a:b].tolist()):
-                out.append((int(places[a + i - n + 1]), int(places[a + i]) + 1, self.automaton.least[state]))
-        return out
-
-    def items(self, segments: list[str]) -> dict[int, tuple[int, int]]:
-        """Item -> (words of the longest passage, words of the item that lie in passages, as a lower bound)."""
-        found: dict[int, tuple[int, int]] = {}
-        least = self.automaton.min_words
-        for segment in segments:
-            words = segment.split()
-            if len(words) < least:
-                continue
-            run: dict[int, tuple[int, int]] = {}
-            for _, end, state in self.spans(words):
-                for item in self.automaton.items[state]:
-                    at, n = run.get(item, (-2, 0))
-                    n = n + 1 if self._next(words, at, end) else least
-                    run[item] = end, n
-                    longest, total = found.get(item, (0, 0))
-                    found[item] = max(longest, n), total + (1 if n > least else least)
-        return found
-
-    def _next(self, words: list[str], at: int, end: int) -> bool:
-        """Whether no word lies between two ends: then the passage goes on."""
-        if at < 0 or end - at > 40:
-            return False
-        return all(self.ids[w] == -2 for w in words[at : end - 1])
-
-
-def item_automata(items: DataFrame, id_column: str, text_column: str, min_words: int) -> list[SuffixAutomaton]:
-    """One automaton for each block of items; items without an id or with fewer than min_words words are left out.  There
-    is always one automaton."""
-    rows = items.select(id_column, text_column).where(F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
-    out: list[SuffixAutomaton] = []
-    block: list[tuple[int, list[str]]] = []
-    total = 0
-    for r in rows.orderBy(id_column).toLocalIterator():
-        words = words_of(r[1])
-        if len(words) < min_words:
-            continue
-        if block and total + len(words) > MAX_ITEM_WORDS:
-            out.append(SuffixAutomaton(block, min_words))
-            block, total = [], 0
-        block.append((r[0], words))
-        total += len(words)
-    if block or not out:
-        out.append(SuffixAutomaton(block, min_words))
-    return out
+            for i, _, state in self.automaton.matches(known[a:b].tolist()):
+                yield a + i, places, self.automaton.least[state]
+
+
+def passages(ends: Iterable[int], least: int) -> tuple[int, int]:
+    """Words of the longest passage, and words in passages, from the places where matches of `least` words end."""
+    longest = total = run = 0
+    before: int | None = None
+    for at in sorted(ends):
+        step = least if before is None else min(least, at - before)
+        run = run + 1 if step == 1 else least
+        total += step
+        longest = max(longest, run)
+        before = at
+    return longest, total
+
+
+Block = list[tuple[object, list[str]]]
+
+
+class Search:
+    """All blocks of items, on a Python worker."""
+
+    def __init__(self, blocks: list[Broadcast], min_words: int) -> None:
+        self.blocks, self.min_words = blocks, min_words
+        self.words = Words()
+        self.finders: dict[int, Finder] = {}
+
+    def finder(self, i: int) -> Finder:
+        """The automaton of block i; the one that was made first gives way when there are too many."""
+        if i not in self.finders:
+            while len(self.finders) >= AUTOMATA:
+                del self.finders[next(iter(self.finders))]
+            block: Block = _unpack(self.blocks[i].value)
+            self.finders[i] = Finder(SuffixAutomaton(block, self.min_words))
+        return self.finders[i]
+
+    def read(self, texts: list[str | None]) -> list[list[list[str]]]:
+        """Words of each segment of each text."""
+        if len(self.words.folded) >= _MEMO:
+            self.words = Words()
+        return [[s.split() for s in visible(t)] for t in texts]
+
+    def found(self, docs: list[list[list[str]]]) -> Iterator[tuple[int, int, int, np.ndarray, tuple]]:
+        """(document, segment, place, places, items) of each match end in each block."""
+        numbers = [
+            (d, k, self.words.of(words))
+            for d, segments in enumerate(docs)
+            for k, words in enumerate(segments)
+            if len(words) >= self.min_words
+        ]
+        for i in range(len(self.blocks)):
+            finder = self.finder(i)
+            finder.look_up(self.words)
+            for d, k, ids in numbers:
+                for at, places, state in finder.ends(ids):
+                    yield d, k, at, places, finder.automaton.items[state]
+
+
+def _pack(block: Block) -> tuple[list, str]:
+    """One string instead of many: workers hold the blocks they have read."""
+    return [item for item, _ in block], "\n".join(" ".join(words) for _, words in block)
+
+
+def _unpack(packed: tuple[list, str]) -> Block:
+    ids, text = packed
+    return [(item, line.split(" ")) for item, line in zip(ids, text.split("\n"), strict=True)] if ids else []
+
+
+def item_blocks(items: DataFrame, id_column: str, text_column: str, min_words: int) -> Iterator[Block]:
+    """(item, words) of all items in blocks; items without an id or with fewer than min_words words are left out.
+
+    The items are folded on the executors and come to the driver one partition at a time."""
+    rows = spread(items.select(id_column, F.col(text_column).alias("__text")).where(F.col("__text").isNotNull() & F.col(id_column).isNotNull()))
+    kind = rows.schema[0].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = [words_of(t) for t in batch.column(1).to_pylist()]
+            keep = [i for i, w in enumerate(folded) if len(w) >= min_words]
+            texts = pa.array([" ".join(folded[i]) for i in keep], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), texts], [id_column, "__words"])
+
+    block: Block = []
+    room = MAX_ITEM_WORDS
+    for item, text in rows.mapInArrow(fold, f"`{id_column}` {kind}, __words string").toLocalIterator():
+        words = text.split(" ")
+        at = 0
+        while len(words) - at >= min_words:
+            if room < min(len(words) - at, max(min_words, MAX_ITEM_WORDS)):
+                if block:
+                    yield block
+                block, room = [], max(MAX_ITEM_WORDS, min_words)
+            part = words[at : at + room]
+            block.append((item, part))
+            room -= len(part)
+            at += len(part) - (min_words - 1)  # what follows begins with the next word's match
+    if block:
+        yield block
+
+
+def _broadcast(items: DataFrame, id_column: str, text_column: str, min_words: int) -> list[Broadcast]:
+    context = items.sparkSession.sparkContext
+    return [context.broadcast(_pack(b)) for b in item_blocks(items, id_column, text_column, min_words)]
 
 
 def find_leaks(
@@ -218,37 +291,40 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document row and item of which it holds min_words consecutive words.
 
-    Columns: id, `keep`, item, n_words (longest passage), coverage (words in passages over the item's words, at most 1).
+    Columns: id, `keep`, item, n_words (longest passage), covered (words of the document that lie in passages of the item).
     Null, empty and shorter items match nothing, null and empty documents hold nothing.  Items that share a passage are
-    all listed, and every copy of a document is.
+    all listed, and every copy of a document is.  Ids may have any type.
     """
-    context = docs.sparkSession.sparkContext
     picked = spread(docs.select(id_column, *keep, F.col(text_column).alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1])
-    item_type = items.schema[item_column].dataType.simpleString()
+    kind = items.schema[item_column].dataType
+    arrow = to_arrow_type(kind)
+    blocks = _broadcast(items, item_column, item_text_column, min_words)
 
-    def run(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(blocks, min_words)
         for batch in batches:
-            row, item, longest, cover = [], [], [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for k, (n, total) in sorted(finder.items(visible(text)).items()):
-                    row.append(i)
-                    item.append(k)
-                    longest.append(n)
-                    cover.append(min(1.0, total / finder.automaton.item_words[k]))
-            if row:
-                out = batch.take(pa.array(row, pa.int32()))
+            held: dict[tuple[int, object], list[list[int]]] = {}
+            for d, k, at, _, of in search.found(search.read(batch.column(batch.num_columns - 1).to_pylist())):
+                for item in of:
+                    segments = held.setdefault((d, item), [])
+                    while len(segments) <= k:
+                        segments.append([])
+                    segments[k].append(at)
+            if held:
+                each = [[passages(ends, min_words) for ends in segments] for segments in held.values()]
+                out = batch.take(pa.array([d for d, _ in held], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*out.columns[:-1], pa.array(item, pa.int64()), pa.array(longest, pa.int32()), pa.array(cover, pa.float64())],
-                    [*out.schema.names[:-1], item_column, "n_words", "coverage"],
+                    [
+                        *out.columns[:-1],
+                        pa.array([item for _, item in held], arrow),
+                        pa.array([max(n for n, _ in x) for x in each], pa.int32()),
+                        pa.array([sum(n for _, n in x) for x in each], pa.int64()),
+                    ],
+                    [*out.schema.names[:-1], item_column, "n_words", "covered"],
                 )
 
-    found = [
-        picked.mapInArrow(partial(run, context.broadcast(a)), f"{schema}, `{item_column}` {item_type}, n_words int, coverage double")
-        for a in item_automata(items, item_column, item_text_column, min_words)
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return picked.mapInArrow(run, f"{schema}, `{item_column}` {kind.simpleString()}, n_words int, covered bigint")
 
 
 def remove_leaks(
@@ -266,59 +342,45 @@ def remove_leaks(
     Columns: id, clean (segments joined by blank lines; null for null texts), n_removed (words cut), dropped (true if
     passages make up more than max_coverage of the document's words: clean is then empty).
     """
-    context = docs.sparkSession.sparkContext
     picked = spread(docs.select(id_column, F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
-    none = F.array().cast("array<bigint>")
-    marked = picked.withColumn("__cut", none)
+    blocks = _broadcast(items, item_column, item_text_column, min_words)
 
-    def mark(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the places of words to cut, counted over all segments."""
-        finder = Finder(shared.value)
-        for batch in batches:
-            cuts = []
-            for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                cut, at = set(before), 0
-                for segment in visible(text):
-                    words = segment.split()
-                    for first, end, _ in finder.spans(words):
-                        cut.update(range(at + first, at + end))
-                    at += len(words)
-                cuts.append(sorted(cut))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cuts, pa.list_(pa.int64()))], batch.schema.names)
-
-    for automaton in item_automata(items, item_column, item_text_column, min_words):
-        marked = marked.mapInArrow(partial(mark, context.broadcast(automaton)), f"`{id_column}` {kind}, __text string, __cut array<bigint>")
-
-    def clean(text: str | None, places_cut: list[int]) -> tuple[str | None, int, bool]:
+    def clean(text: str | None, cuts: dict[int, list[tuple[int, int]]]) -> tuple[str | None, int, bool]:
+        """cuts: (first word, end) of the passages' matches of each segment."""
         if text is None:
             return None, 0, False
-        gone, kept, n = set(places_cut), [], 0
-        for segment in visible(text):
-            out, at, before = [], 0, False
-            for m in re.finditer(r"\S+", segment):
-                if n in gone:
-                    if not before:
-                        out.append(segment[at : m.start()])
-                    at = m.end()
-                before = n in gone
-                n += 1
+        kept, n_cut, n_all = [], 0, 0
+        for k, segment in enumerate(visible(text)):
+            words = list(re.finditer(r"\S+", segment)) if k in cuts else []
+            n_all += len(words) or len(segment.split())
+            gone = np.zeros(len(words) + 1, np.int32)
+            for first, end in cuts.get(k, []):
+                gone[first] += 1
+                gone[end] -= 1
+            gone = np.cumsum(gone)[:-1] > 0
+            n_cut += int(gone.sum())
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).tolist()
+            out, at = [], 0
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                out.append(segment[at : words[a].start()])
+                at = words[b - 1].end()
             kept.append("".join([*out, segment[at:]]))
-        dropped = len(gone) > max_coverage * n
-        return ("" if dropped else "\n\n".join(kept)), len(gone), dropped
+        dropped = n_cut > max_coverage * n_all
+        return ("" if dropped else "\n\n".join(kept)), n_cut, dropped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(blocks, min_words)
         for batch in batches:
-            rows = [clean(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            texts = batch.column(1).to_pylist()
+            cuts: list[dict[int, list[tuple[int, int]]]] = [{} for _ in texts]
+            for d, k, at, places, _ in search.found(search.read(texts)):
+                cuts[d].setdefault(k, []).append((int(places[at - min_words + 1]), int(places[at]) + 1))
+            rows = [clean(t, c) for t, c in zip(texts, cuts, strict=True)]
+            text, removed, dropped = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(columns[0], pa.string()),
-                    pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.bool_()),
-                ],
+                [batch.column(0), pa.array(text, pa.string()), pa.array(removed, pa.int64()), pa.array(dropped, pa.bool_())],
                 [id_column, "clean", "n_removed", "dropped"],
             )
 
-    return marked.mapInArrow(run, f"`{id_column}` {kind}, clean string, n_removed bigint, dropped boolean")
+    return picked.mapInArrow(run, f"`{id_column}` {kind}, clean string, n_removed bigint, dropped boolean")

@@ -1,17 +1,19 @@
 """What a reader of an e-mail sees: its headers and text parts with transfer encodings and markup undone.
 
-`visible(text)` takes the whole raw message and returns a list of plain-text segments, one for the header block and one
+`visible(text)` takes the whole raw message and returns a list of plain-text segments, one for each header block and one
 for each text part or text attachment.  Defined results for odd input:
 
 * null or empty text: no segment;
 * no header block: the whole text is one body segment;
 * broken base64 or quoted-printable: what can be decoded is kept;
-* a multipart body that is never closed: its last part ends with the message;
-* a multipart type without a matching boundary line: the body counts as text;
+* a multipart body that is never closed: its last part ends with the message, or where an outer part ends;
+* a multipart type without a boundary line: the body counts as text;
+* an inner multipart with the boundary of an outer one: the lines divide the outer one;
 * attachments: base64 or other content that is valid UTF-8 without control bytes counts as text, anything else is binary
-  and gives no segment.
+  and gives no segment beside its headers.
 
-The parser works on one message at a time in linear time and never loads anything but that message.
+Of the headers only boundary parameters are left out.  Parts nest to any depth: a message is read line mark by line mark
+with an explicit stack of open boundaries, once and in linear time, and nothing but that message is in memory.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 import binascii
 import html
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 _HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
 _FOLD = re.compile(r"\n[ \t]+")
@@ -26,14 +30,14 @@ _FIELD = re.compile(r"^(content-type|content-transfer-encoding):[ \t]*(.*)$", re
 _BOUNDARY = re.compile(r"boundary\s*=\s*(?:\"([^\"\n]*)\"|([^\s;]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*\"?([^\s;\"]+)", re.I)
 _ENCODED_WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?=(?:\s+(?==\?))?")
+_ENCODED_PARAMETER = re.compile(r"\*(?:\d+\*)?=\"?([\w-]*)'[\w-]*'([^\s;\"]*)")
+_MARK = re.compile(r"^--[^\n]*", re.M)
 _HIDDEN = re.compile(r"<(script|style|title|template)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 _BLOCK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|hr|body|html|head))\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>")
+_BLANK = re.compile(r"\n*")
+_HTML = re.compile(r"\s*<(?:html|!doc)", re.I)
 _CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
-_MACHINE = re.compile(
-    r"^(?:message-id|references|in-reply-to|received|date|mime-version|content-[a-z-]+|return-path|dkim-signature):.*\n?", re.I | re.M
-)
-_MAX_DEPTH = 20
 
 
 def decode_bytes(data: bytes, charset: str) -> str:
@@ -76,48 +80,79 @@ def _encoded_word(m: re.Match) -> str:
     return decode_bytes(data, charset.partition("*")[0])
 
 
-def _split(text: str) -> tuple[str, str]:
-    """Header block and body.  Without a header line at the start there is no header block."""
-    if not _HEADER.match(text):
-        return "", text[1:] if text.startswith("\n") else text
-    head, _, body = text.partition("\n\n")
-    return head, body
-
-
-def _entity(text: str, out: list[str], depth: int, show_headers: bool, machine: bool) -> None:
-    head, body = _split(text)
-    kind, encoding = "text/plain", ""
-    if head:
-        head = _FOLD.sub(" ", head)
-        for name, value in _FIELD.findall(head):
-            if name[8] in "Tt" and name[9] in "yY":
-                kind = value
-            else:
-                encoding = value.strip().lower()
-        if show_headers:
-            head = head if machine else _MACHINE.sub("", head)
-            out.append(_ENCODED_WORD.sub(_encoded_word, head) if "=?" in head else head)
-    low = kind[:16].lower()
-    if low.startswith("multipart/") and depth < _MAX_DEPTH:
-        found = _BOUNDARY.search(kind)
-        mark = "--" + (found.group(1) or found.group(2) or "") if found else ""
-        if len(mark) > 2:
-            pieces = ("\n" + body).split("\n" + mark)
-            if len(pieces) > 1:
-                for piece in pieces[1:]:
-                    line, _, rest = piece.partition("\n")
-                    if line.startswith("--"):
-                        break
-                    if line.strip():
-                        out.append(line)  # a longer line that only begins like the boundary
-                    _entity(rest, out, depth + 1, False, machine)
-                return
-    if not body:
-        return
-    if low.startswith("message/") and depth < _MAX_DEPTH:
-        _entity(body.lstrip("\n"), out, depth + 1, True, machine)
-        return
-    textual = low.startswith(("text/", "multipart/")) or "/" not in low
+def _shown(head: str) -> str:
+    """A header block (unfolded) as a reader sees it."""
+    if "=?" in head:
+        head = _ENCODED_WORD.sub(_encoded_word, head)
+    if "*" in head and "'" in head:
+        head = _ENCODED_PARAMETER.sub(lambda m: "=" + decode_bytes(unquote_to_bytes(m[2]), m[1] or "utf-8"), head)
+    return _BOUNDARY.sub("", head) if "oundary" in head.lower() else head
+
+
+class _Marks:
+    """Open boundaries, and the lines of a text that could divide parts."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.lines = _MARK.finditer(text)
+        self.now = next(self.lines, None)
+        self.open: dict[str, tuple[int, bool]] = {}  # line -> (level, whether it closes)
+        self.levels: list[list[str]] = []
+
+    def push(self, boundary: str) -> bool:
+        """Opens a boundary; false if it is empty or an outer part has it already."""
+        line = "--" + boundary.rstrip()
+        if line == "--" or line in self.open:
+            return False
+        mine = [x for x in (line, line + "--") if x not in self.open]
+        for x in mine:
+            self.open[x] = len(self.levels), x != line
+        self.levels.append(mine)
+        return True
+
+    def cut(self, level: int) -> None:
+        """Closes the boundaries from this level on."""
+        while len(self.levels) > level:
+            for x in self.levels.pop():
+                del self.open[x]
+
+    def next(self, at: int) -> tuple[int, int, int, bool] | None:
+        """The first dividing line from `at` on: start, end, level, whether it closes its level."""
+        while self.now is not None:
+            if self.now.start() >= at:
+                found = self.open.get(self.now.group().rstrip())
+                if found:
+                    return self.now.start(), self.now.end(), *found
+            self.now = next(self.lines, None)
+        return None
+
+    def divides(self, at: int) -> bool:
+        """Whether a dividing line begins at `at`."""
+        mark = self.next(at) if self.open else None
+        return mark is not None and mark[0] == at
+
+    def header(self, at: int) -> tuple[str, int]:
+        """Header block of the entity that begins at `at` and where its body begins; '' without a header line there.  A
+        dividing line ends the block."""
+        text = self.text
+        if not _HEADER.match(text, at):
+            return "", at + text.startswith("\n", at)
+        pos = at
+        while pos < len(text):
+            end = text.find("\n", pos)
+            end = len(text) if end < 0 else end
+            if end == pos:
+                return text[at : pos - 1], pos + 1
+            if self.open and text.startswith("--", pos) and text[pos:end].rstrip() in self.open:
+                return text[at : pos - 1], pos
+            pos = end + 1
+        return text[at:], len(text)
+
+
+def _body(body: str, kind: str, encoding: str) -> str | None:
+    """Text of a leaf; None if it is binary."""
+    low = kind.lower()
+    textual = low.startswith(("text/", "multipart/", "message/")) or "/" not in low
     if encoding.startswith("base64"):
         data: bytes | None = base64_bytes(body)
     elif encoding.startswith("quoted-printable"):
@@ -127,29 +162,77 @@ def _entity(text: str, out: list[str], depth: int, show_headers: bool, machine:
     if data is not None:
         if not textual:
             if _CONTROL.search(data):
-                return
+                return None
             try:
                 body = data.decode("utf-8")
             except UnicodeDecodeError:
-                return
+                return None
         else:
             found = _CHARSET.search(kind)
             body = decode_bytes(data, found.group(1) if found else "utf-8")
         if "\r" in body:
             body = body.replace("\r\n", "\n").replace("\r", "\n")
-    if low.startswith("text/html") or (not textual and body[:200].lstrip()[:5].lower() in ("<html", "<!doc")):
+    if low.startswith("text/html") or (not textual and _HTML.match(body)):
         body = strip_html(body)
-    out.append(body)
+    return body
 
 
-def visible(text: str | None, machine: bool = True) -> list[str]:
-    """The segments of a raw message that a reader sees, in order; [] for null and empty text.
-
-    machine: whether header fields that are written and read by programs (ids, dates, types) are among them."""
-    if not text:
-        return []
+def _entities(text: str) -> Iterator[tuple[str, bool]]:
+    """Segments in order, and the texts of messages that were encoded within this one (marked True)."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
+    marks = _Marks(text)
+    at, size = 0, len(text)
+    while at < size:
+        head, body = marks.header(at)
+        kind, encoding = "text/plain", ""
+        if head:
+            head = _FOLD.sub(" ", head)
+            for name, value in _FIELD.findall(head):
+                if name[8] in "Tt" and name[9] in "yY":
+                    kind = value
+                else:
+                    encoding = value.strip().lower()
+            yield _shown(head), False
+        low = kind[:16].lower()
+        encoded = encoding.startswith(("base64", "quoted-printable"))
+        if low.startswith("message/") and not encoded and body < size and not marks.divides(body):
+            at = _BLANK.match(text, body).end()
+            continue
+        level = len(marks.levels)
+        found = _BOUNDARY.search(kind) if low.startswith("multipart/") else None
+        opened = bool(found) and marks.push(found[1] or found[2] or "")
+        mark = marks.next(body)
+        # the line end before a dividing line belongs to that line
+        end = max(body, mark[0] - 1) if mark else size
+        if opened and mark and mark[2] == level:
+            end = body  # what precedes the first part isn't shown
+        elif opened:
+            marks.cut(level)
+        if body < end:
+            shown = _body(text[body:end], kind, encoding)
+            if shown is not None:
+                yield shown, low.startswith("message/")
+        # on to the next part; what follows a closing line isn't shown
+        while mark and mark[3]:
+            marks.cut(mark[2])
+            mark = marks.next(mark[1])
+        if mark is None:
+            return
+        marks.cut(mark[2] + 1)
+        at = mark[1] + 1
+
+
+def visible(text: str | None) -> list[str]:
+    """The segments of a raw message that a reader sees, in order; [] for null and empty text."""
     out: list[str] = []
-    _entity(text, out, 0, True, machine)
+    stack = [_entities(text or "")]
+    while stack:
+        segment, message = next(stack[-1], (None, False))
+        if segment is None:
+            stack.pop()
+        elif message:
+            stack.append(_entities(segment))
+        else:
+            out.append(segment)
     return out

@@ -47,12 +47,10 @@ FROM freq
 
 
 def p2_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked items of every message with purpose, longest passage and coverage."""
+    """Leaked items of every message with purpose, longest passage and the number of words in passages."""
     items = _table(spark, sf_dir, "eval_items")
     found = leaks.find_leaks(_table(spark, sf_dir, "documents"), items)
-    return found.join(F.broadcast(items.select("item_id", "purpose")), "item_id").select(  # 240 rows, fixed
-        "doc_id", "item_id", "purpose", "n_words", F.round("coverage", 6).alias("coverage")
-    )
+    return found.join(items.select("item_id", "purpose"), "item_id").select("doc_id", "item_id", "purpose", "n_words", "covered")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
