@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+from pathlib import Path
 
 import pytest
 
@@ -43,10 +44,37 @@ def test_length_does_not_dilute(scorer):
 
 
 def test_light_terms_far_apart_do_not_add_up(scorer):
-    assert scorer.score("\nstupid disgusting")[0] == pytest.approx(0.8)
-    assert scorer.score("\nstupid " + "word " * 40 + "disgusting")[0] == pytest.approx(0.4)
+    assert scorer.score("\nstupid disgusting")[0] == pytest.approx(0.4)
+    assert scorer.score("\nstupid " + "word " * 60 + "disgusting")[0] == pytest.approx(0.2)
 
 
+def test_score_falls_with_the_length_of_the_stretch(scorer):
+    """Weights for each WINDOW words of the densest stretch."""
+    near, far = (scorer.score("\nthey stink " + "word " * n + "they steal")[0] for n in (5, 30))
+    assert near == pytest.approx(0.8) and far == pytest.approx(0.8 * abuse.WINDOW / 34, abs=1e-4)
+
+
+def test_places_and_names(scorer):
+    """File names, any header field, deep parts, and peoples that only a parameter knows."""
+    assert scorer.score('Content-Type: text/plain; name="fuck you.txt"\n\nhello')[0] >= abuse.THRESHOLD
+    deep = "".join(f'Content-Type: multipart/mixed; boundary="d{i}"\n\n--d{i}\n' for i in range(40))
+    assert scorer.score(deep + "Content-Type: text/plain\n\nYou filthy bastard.")[0] >= abuse.THRESHOLD
+    text = "\nDirty plutonians and their liars."
+    assert scorer.score(text)[0] < abuse.THRESHOLD <= Scorer(groups="plutonians").score(text)[0]
+
+
+def _sentences(name):
+    lines = (Path(__file__).parent / name).read_text().splitlines()
+    return [x.split("\t") for x in lines if not x.startswith("#")]
+
+
+@pytest.mark.parametrize("name, recall, precision", [("abuse_heldout.txt", 0.9, 0.9), ("abuse_later.txt", 0.7, 0.9)])
+def test_hand_made_sentences(scorer, name, recall, precision):
+    """The README has the figures of the first measurement; these bounds keep the lexicon from getting worse."""
+    marks = [(kind == "1", scorer.score("\n" + text)[0] >= abuse.THRESHOLD) for kind, text in _sentences(name)]
+    right = sum(a and b for a, b in marks)
+    assert right >= recall * sum(a for a, _ in marks) and right >= precision * sum(b for _, b in marks)
+
 def test_documents(spark):
     rows = [(1, "\n" + BAD[0], "s", 7.0), (2, None, "s", 7.0), (3, "", None, 7.0), (1, "\n" + BAD[0], "s", 7.0), (4, "\nfine", None, 7.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
@@ -60,7 +88,7 @@ def test_documents(spark):
 
 def test_own_lexicon(spark):
     docs = spark.createDataFrame([(1, "\nthe blue moon")], "doc_id long, text string")
-    assert abuse.score_documents(docs, lexicon="odd 1.0: blue moon\n", exceptions="").first().kind == "odd"
+    assert abuse.score_documents(docs, lexicon="MOON odd 1.0: blue moon\n", exceptions="", rules="", groups="").first().kind == "odd"
 
 
 def test_insults_said_to_somebody():
