@@ -183,7 +183,7 @@ abuse 0.6: DEMEAN 0 BEAST
 abuse 1.0: DEMEAN !1 INSULT
 abuse 1.0: INSULT 0 DEMEAN
 abuse 1.0: INSULT 0 LIKEYOU
-abuse 1.0: HE !0 BE !3 INSULT
+abuse 0.8: HE !0 BE !3 INSULT
 abuse 1.0: YOUR 0 KIN !2 INSULT
 abuse 0.7: HUSH !1 ADDR
 abuse 1.0: HUSH !2 INSULT
