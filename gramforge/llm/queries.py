@@ -66,22 +66,28 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 4: most frequent --------------------------------------------------------------------------------------------------
 
 
-def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 40 most frequent n-grams with their guaranteed interval and exact total."""
     rows = _table(spark, sf_dir, "ngram_counts").select("segment_id", "ngram", "cnt")
     once = lossy.deliveries_once(rows, ["segment_id", "ngram"], "cnt")
     return lossy.top_items(once, "ngram", "cnt", 40).withColumnRenamed("item", "ngram")
 
 
+def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 most frequent n-grams with their total, and whether the guaranteed interval holds it."""
+    within = F.col("total").between(F.col("at_least"), F.col("at_most"))
+    return p4_intervals(spark, sf_dir).select("ngram", "total", within.alias("within"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_top(spark, sf_dir).select("ngram")
+    return p4_intervals(spark, sf_dir).select("ngram")
 
 
-P4_FOUND = """
+P4_TOP = """
 WITH one AS (
   SELECT segment_id, ngram, max(coalesce(cnt, 0)) AS cnt FROM ngram_counts WHERE ngram IS NOT NULL GROUP BY segment_id, ngram
 )
-SELECT ngram FROM one GROUP BY ngram ORDER BY sum(cnt) DESC, ngram LIMIT 40
+SELECT ngram, CAST(sum(cnt) AS BIGINT) AS total, true AS within FROM one GROUP BY ngram ORDER BY total DESC, ngram LIMIT 40
 """
 
 # -- 5: look-alikes ----------------------------------------------------------------------------------------------------
@@ -138,7 +144,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_terms, p1_found, p2_leaks, p2_found, p2_clean, p4_top, p4_found, p5_forms, p5_found, p7_ids, p8_pack)
+    made = (p1_terms, p1_found, p2_leaks, p2_found, p2_clean, p4_top, p4_intervals, p4_found, p5_forms, p5_found, p7_ids, p8_pack)
     return {f.__name__: f for f in (*made, p8_containers, p8_found, p9_scores, p9_rates, p9_found)}
 
 
@@ -146,5 +152,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": P1_TERMS,
         "p1_found": f"SELECT word, mark FROM ({P1_TERMS}) WHERE mark IS NOT NULL",
-        "p4_found": P4_FOUND,
+        "p4_top": P4_TOP,
+        "p4_found": f"SELECT ngram FROM ({P4_TOP})",
     }

@@ -96,3 +96,40 @@ def test_top_items_with_finer_epsilon(spark, monkeypatch, tasks):
     assert [(r.item, r.total) for r in lossy.top_items(df, "item", "cnt", 5, 0.01).collect()] == rows[:-6:-1]
     (_, kth, missing), (_, finer_kth, finer_missing) = passes
     assert kth <= missing and finer_kth > finer_missing
+
+
+def test_buckets_end_by_weight_and_bound_the_summary():
+    """Buckets far smaller than the stream: pruning happens at each, and the summary stays small."""
+    rng = np.random.default_rng(6)
+    counter, most, distinct = lossy.LossyCounter(1e-3), 0, set()
+    for _ in range(300):
+        items = [f"i{x}" for x in rng.zipf(1.2, 500)]
+        distinct |= set(items)
+        counter.add(pa.array(items), pa.array(rng.integers(1, 4, 500).tolist(), pa.int64()))
+        most = max(most, 0 if counter.entries is None else len(counter.entries))
+    assert counter.pruned > 200 and counter.waiting_rows < lossy.CHUNK
+    assert most < 5_000 < 25_000 < len(distinct)
+
+
+def test_weightless_items_do_not_fill_memory(monkeypatch):
+    monkeypatch.setattr(lossy, "CHUNK", 64)
+    counter = lossy.LossyCounter(0.01)
+    for k in range(50):
+        counter.add(pa.array([f"i{k}-{i}" for i in range(50)]), pa.array([0] * 50, pa.int64()))
+        assert counter.entries is None or len(counter.entries) <= 300
+    assert counter.missing == 1 and counter.bucket == 0
+
+
+def test_slices_instead_of_memory(spark, monkeypatch):
+    monkeypatch.setattr(lossy, "MIN_EPSILON", 0.02)
+    rows = [(f"i{i:03}", 10 + i // 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "item string, cnt long").repartition(3)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:5]
+    assert [(r.item, r.total) for r in lossy.top_items(df, "item", "cnt", 5, 0.02).collect()] == want
+
+
+def test_flat_data_give_intervals(spark, monkeypatch):
+    monkeypatch.setattr(lossy, "MIN_EPSILON", 0.1)
+    monkeypatch.setattr(lossy, "MAX_SLICES", 2)
+    df = spark.createDataFrame([(f"i{i}", 1) for i in range(3000)], "item string, cnt long")
+    assert all(r.total is None and r.at_least <= 1 <= r.at_most for r in lossy.top_items(df, "item", "cnt", 5, 0.1).collect())
