@@ -7,12 +7,15 @@ Only the histogram of lengths (at most `capacity` rows, whatever the number of i
    linear program over these classes is solved by multiplicative weights: each step prices classes by their weight over
    their demand, finds the best configuration by an unbounded-knapsack dynamic program over the capacity in tokens and
    lowers the weights of what it covers.
-2. The fractional solution is rounded down; each configuration's copies take real items of its classes, longest first.
+2. The fractional solution is made a basic one, with at most one configuration for each class and the same coverage, so that
+   rounding it down loses less than one container for each class; each configuration's copies take real items of its
+   classes, longest first.
 3. The remaining items, short ones included, go best-fit decreasing into the exact space left, then into new containers.
 
 All of it works on runs (length, range of ranks -> range of containers), never on single items.  Back on the executors
-each item gets its rank among the items of its length from two counts (its salt's offset and its place within the salt),
-so a length that a third of all rows share is spread over `SALTS` window groups, and finds its run by binary search.
+each item gets its rank among the items of its length from two counts (its salt's offset and its place within the salt) and
+finds its run by binary search.  A length has one salt for each `SALT_ROWS` of its items, known from the histogram, so that no
+group of a window grows with the data even if a third of all rows share one length.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from ..session import checkpoint
 
 CAPACITY = 5_000
 CLASSES = 80
-SMALL = 0.05
-SALTS = 64
+SMALL = 0.1
+ROOMS = (0.5, 0.9)
+SALT_ROWS = 100_000
 ROUNDS = 6
 ETA = 0.25
+PIVOTS = 20
 
 
 @dataclass
@@ -47,6 +52,7 @@ class Plan:
     first: list[int] = field(default_factory=list)
     per: list[int] = field(default_factory=list)
     n_containers: int = 0
+    n_configured: int = 0  # of them from the configuration program
 
     def add(self, size: int, start: int, n: int, first: int, per: int) -> None:
         for column, value in zip((self.size, self.start, self.stop, self.first, self.per), (size, start, start + n, first, per), strict=True):
@@ -119,16 +125,59 @@ def fractional_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: i
     return {k: x / float(np.median(cover)) for k, x in used.items()}
 
 
+def basic_solution(solution: dict[tuple[int, ...], float], demand: np.ndarray) -> dict[tuple[int, ...], float]:
+    """A solution from the same configurations that covers just the demand with at most as many configurations as classes.
+
+    The given solution is scaled down until no class has too much; what then lacks is covered by single items.  Each
+    configuration in turn is written as a combination of those kept so far (at first the single items) and its multiplicity
+    is moved to them as far as all stay positive; where one falls to 0 before, the configuration takes its place.  At last
+    configurations that are cheaper than the combination they stand for come back in, as in the simplex method."""
+    n = len(demand)
+    columns = np.array(list(solution), float).reshape(-1, n)
+    amounts = np.array(list(solution.values()))
+    cover = amounts @ columns
+    amounts = amounts * float((demand / np.maximum(cover, 1e-12)).min(initial=1.0, where=cover > 0))
+    kept = np.eye(n)
+    value, inverse = np.maximum(demand - amounts @ columns, 0.0), np.eye(n)
+
+    def enter(column: np.ndarray, x: float) -> None:
+        nonlocal value, inverse
+        way = inverse @ column  # the configuration in terms of those kept
+        sign = 1.0 if way.sum() > 1 + 1e-9 else -1.0  # more of it, where it is cheaper than what it stands for, else less
+        limits = np.divide(value, sign * way, out=np.full(n, np.inf), where=sign * way > 1e-9)
+        out = int(limits.argmin())
+        step = float(limits[out])
+        if sign < 0 and step >= x:
+            value = value + way * x
+            return
+        value = np.maximum(value - sign * step * way, 0.0)
+        value[out] = x + sign * step
+        kept[out] = column
+        row = inverse[out] / way[out]
+        inverse = inverse - np.outer(way, row)
+        inverse[out] = row
+
+    for i in np.argsort(-amounts, kind="stable"):
+        enter(columns[i], float(amounts[i]))
+    for _ in range(PIVOTS * n if len(columns) else 0):
+        gain = columns @ inverse.sum(axis=0)
+        best = int(gain.argmax())
+        if gain[best] <= 1 + 1e-7:
+            break
+        enter(columns[best], 0.0)
+    return {tuple(c): float(v) for c, v in zip(kept.astype(int).tolist(), value, strict=True) if v > 1e-9}
+
+
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """histogram: number of items of each size, 1 to capacity.
 
-    The program is solved twice: over the whole capacity, and over what the short items leave of it, so that they fill each
-    container to the brim.  The plan with fewer containers is taken."""
+    The program is solved for each of `ROOMS`: that part of what short items take on average in a container is left free for
+    them, so that they fill each container to the brim.  The plan with fewer containers is taken."""
     mass = sum(s * n for s, n in histogram.items())
     short = sum(s * n for s, n in histogram.items() if s <= capacity * SMALL)
-    room = capacity - int(0.9 * capacity * short / mass) if mass else capacity
-    plans = [_plan(histogram, capacity, r) for r in sorted({capacity, room}, reverse=True)]
-    return min(plans, key=lambda p: p.n_containers)
+    rooms = {capacity - int(part * capacity * short / mass) if mass else capacity for part in ROOMS}
+    plans = [_plan(histogram, capacity, r) for r in sorted(rooms, reverse=True)]
+    return min(plans, key=lambda p: (p.n_containers, -p.n_configured))
 
 
 def _plan(histogram: dict[int, int], capacity: int, room_of_large: int) -> Plan:
@@ -159,9 +208,10 @@ def _plan(histogram: dict[int, int], capacity: int, room_of_large: int) -> Plan:
         groups = length_classes(large, left, CLASSES)
         demand = np.array([sum(left[s] for s in g) for g in groups], float)
         solution = fractional_configurations(np.array([g[0] for g in groups]), demand, room_of_large)
+        solution = basic_solution(solution, demand)
         for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
             enough = [sum(left[s] for s in g) // n for g, n in zip(groups, config, strict=True) if n]
-            copies = min(int(x), *enough)
+            copies = min(int(x + 1e-6), *enough)
             if not copies:
                 continue
             # each slot of the configuration takes `copies` items, longest first: pieces of containers with equal content
@@ -185,6 +235,7 @@ def _plan(histogram: dict[int, int], capacity: int, room_of_large: int) -> Plan:
             for i in range(len(edges) - 1):
                 free(capacity - int(load[i]), plan.n_containers + edges[i], edges[i + 1] - edges[i])
             plan.n_containers += copies
+    plan.n_configured = plan.n_containers
     for s in reversed(sizes):
         while left[s]:
             i = bisect_left(rooms, s)
@@ -234,17 +285,20 @@ def pack(
     pieces = items.withColumn("n_pieces", n_pieces)
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     rest = F.col("__size") - F.col("piece").cast("bigint") * capacity
-    pieces = pieces.select(
-        id_column,
-        "piece",
-        "n_pieces",
-        F.least(F.lit(capacity).cast("bigint"), rest).alias("n_tokens"),
-        F.pmod(F.xxhash64(id_column, "piece"), F.lit(SALTS)).cast("int").alias("__salt"),
+    pieces = pieces.select(id_column, "piece", "n_pieces", F.least(F.lit(capacity).cast("bigint"), rest).alias("n_tokens"))
+    nothing = pieces.where("n_tokens <= 0").withColumn("container", F.lit(None).cast("bigint"))
+    pieces = pieces.where("n_tokens > 0")
+    counts = pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("__n"))
+    histogram = {r[0]: r[1] for r in counts.collect()}  # at most `capacity` rows
+    many = {n: -(-count // SALT_ROWS) for n, count in histogram.items() if count > SALT_ROWS}
+    salts = spark.createDataFrame(list(many.items()), "n_tokens bigint, __salts bigint")
+    number = F.pmod(F.xxhash64(id_column, "piece"), F.coalesce("__salts", F.lit(1))).cast("int")
+    pieces = pieces.join(F.broadcast(salts), "n_tokens", "left").select(  # at most `capacity` rows
+        id_column, "piece", "n_pieces", "n_tokens", number.alias("__salt")
     )
-    per_salt = pieces.where("n_tokens > 0").groupBy("n_tokens", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    per_salt = pieces.groupBy("n_tokens", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("n_tokens").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_salt.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    histogram = {r[0]: r[1] for r in per_salt.groupBy("n_tokens").agg(F.sum("__n")).collect()}  # at most `capacity` rows
     plan = plan_packing(histogram, capacity)
     key = np.array(plan.size, np.int64) << 42 | np.array(plan.start, np.int64)
     order = np.argsort(key)
@@ -263,16 +317,14 @@ def pack(
         keys, start, first, per = shared.value
         for batch in batches:
             tokens = batch.column(3).to_numpy(zero_copy_only=False)
-            rank = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
-            if len(keys):
-                i = np.maximum(np.searchsorted(keys, tokens << 42 | rank, "right") - 1, 0)
-                container = first[i] + (rank - start[i]) // np.maximum(per[i], 1)
-            else:
-                container = np.zeros(len(tokens), np.int64)
-            column = pa.array(container, pa.int64(), mask=tokens <= 0)
+            rank = batch.column(4).to_numpy(zero_copy_only=False)
+            i = np.searchsorted(keys, tokens << 42 | rank, "right") - 1
+            container = first[i] + (rank - start[i]) // per[i]
+            column = pa.array(container, pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], column], [*batch.schema.names[:4], "container"])
 
-    return ranked.mapInArrow(run, f"`{id_column}` {kind}, piece int, n_pieces int, n_tokens bigint, container bigint")
+    schema = f"`{id_column}` {kind}, piece int, n_pieces int, n_tokens bigint, container bigint"
+    return ranked.mapInArrow(run, schema).unionByName(nothing)
 
 
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -42,6 +42,26 @@ def test_fills_well():
     assert total / 5000 / plan.n_containers > 0.99
 
 
+def test_the_program_fills_most_containers():
+    rng = np.random.default_rng(3)
+    histogram = dict(Counter(np.clip(rng.lognormal(6.0, 0.8, 10_000), 1, 5000).astype(int).tolist()))
+    plan = plan_packing(histogram)
+    assert plan.n_configured > 0.9 * plan.n_containers
+
+
+def test_basic_solution_covers_the_demand():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 12):
+        solution = {tuple(rng.integers(0, 4, n).tolist()): float(rng.random()) for _ in range(60)}
+        solution.pop((0,) * n, None)
+        demand = sum(np.array(c) * x for c, x in solution.items())
+        basic = packing.basic_solution(solution, demand)
+        assert np.allclose(sum(np.array(c) * x for c, x in basic.items()), demand)
+        assert len(basic) <= n and min(basic.values()) > 0
+        assert sum(basic.values()) <= sum(solution.values()) + 1e-6
+    assert packing.basic_solution({}, np.array([2.0])) == {(1,): 2.0}
+
+
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(20):
