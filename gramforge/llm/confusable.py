@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
 from ..session import checkpoint, spread
 from .lookalikes import TO_LATIN, plain
 
+BLOCK = 1_000
 _TOKENS = re.compile(r"([ \-]+)")
 
 
@@ -100,41 +102,58 @@ def normal_forms(rows: DataFrame, id_column: str = "word_id", text_column: str =
     return picked.mapInArrow(run, f"`{id_column}` {kinds[0]}, `{text_column}` {kinds[1]}, plain string, repaired string")
 
 
+def _several(rows: DataFrame, key: str, text_column: str) -> DataFrame:
+    """(key, n_rows) of the keys with at least two different texts; one aggregation, combined before its shuffle."""
+    groups = rows.groupBy(key).agg(
+        F.min(text_column).alias("__a"), F.max(text_column).alias("__b"), F.count(F.lit(1)).alias("n_rows")
+    )
+    return groups.where("__a <> __b").select(key, "n_rows")
+
+
 def canonical(rows: DataFrame, id_column: str = "word_id", text_column: str = "word") -> DataFrame:
     """(id, text, form, repaired): form is the repaired form where it exists in the vocabulary, else the plain form.
 
-    repaired tells whether look-alikes were replaced.  Support is counted over distinct texts with partial aggregation.
+    repaired tells whether look-alikes were replaced.  Only rows whose look-alikes could be replaced are looked up.
     """
-    f = checkpoint(normal_forms(rows, id_column, text_column))  # read several times below
-    support = (
-        f.groupBy("repaired", text_column)
-        .agg(F.lit(1).alias("__one"))
-        .groupBy("repaired")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1")
-    )
-    joined = f.join(support, "repaired", "left")
-    known = (F.col("repaired") != F.col("plain")) & F.col("__n").isNotNull()
-    return joined.select(
-        id_column,
-        text_column,
-        F.when(known, F.col("repaired")).otherwise(F.col("plain")).alias("form"),
-        known.alias("repaired"),
-    )
+    f = checkpoint(normal_forms(rows, id_column, text_column))  # read twice below
+    same = f.where("repaired = plain").select(id_column, text_column, F.col("plain").alias("form"), F.lit(False).alias("repaired"))
+    other = f.where("repaired <> plain")
+    support = _several(f, "repaired", text_column)
+    joined = skew_join(other, support, ["repaired"], support, [id_column, text_column])
+    known = F.col("n_rows").isNotNull()
+    form = F.when(known, F.col("repaired")).otherwise(F.col("plain"))
+    return same.unionByName(joined.select(id_column, text_column, form.alias("form"), known.alias("repaired")))
+
+
+def classes(rows: DataFrame, id_column: str = "word_id", text_column: str = "word") -> DataFrame:
+    """(id, text, form, n_rows) of the rows whose form another text has too: form is the class, n_rows its size.
+
+    This is the form of the result that grows with the rows, not with the pairs."""
+    f = checkpoint(canonical(rows, id_column, text_column).drop("repaired"))  # read twice
+    groups = _several(f, "form", text_column)
+    return skew_join(f, groups, ["form"], groups, [id_column, text_column], how="inner")
 
 
 def lookalike_pairs(rows: DataFrame, id_column: str = "word_id", text_column: str = "word") -> DataFrame:
     """All pairs (id_a < id_b) of rows whose texts have the same form but differ in characters.
 
-    The result is the pairs themselves, as asked for; only groups with more than one distinct text reach the join, and
-    adaptive execution splits a skewed group.
+    The result is the pairs themselves, as asked for, expanded from `classes`.  A class of n rows is spread over n / `BLOCK`
+    tasks: each takes a part of the rows on one side and all rows of the class on the other.
     """
-    f = canonical(rows, id_column, text_column)
-    several = (
-        f.groupBy("form").agg(F.min(text_column).alias("__a"), F.max(text_column).alias("__b")).where("__a <> __b").select("form")
+    members = checkpoint(classes(rows, id_column, text_column))
+    parts = F.ceil(F.col("n_rows") / F.lit(float(BLOCK))).cast("int")
+    a = members.select(
+        "form",
+        F.pmod(F.xxhash64(id_column), parts).cast("int").alias("__part"),
+        F.col(id_column).alias(f"{id_column}_a"),
+        F.col(text_column).alias("__text_a"),
+    )
+    b = members.select(
+        "form",
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"),
+        F.col(id_column).alias(f"{id_column}_b"),
+        F.col(text_column).alias("__text_b"),
     )
-    f = f.join(several, "form", "left_semi")
-    a = f.select(F.col("form"), F.col(id_column).alias(f"{id_column}_a"), F.col(text_column).alias("__text_a"))
-    b = f.select(F.col("form"), F.col(id_column).alias(f"{id_column}_b"), F.col(text_column).alias("__text_b"))
-    pairs = a.join(b, "form").where((F.col(f"{id_column}_a") < F.col(f"{id_column}_b")) & (F.col("__text_a") != F.col("__text_b")))
+    pairs = a.join(b, ["form", "__part"])
+    pairs = pairs.where((F.col(f"{id_column}_a") < F.col(f"{id_column}_b")) & (F.col("__text_a") != F.col("__text_b")))
     return pairs.select(f"{id_column}_a", f"{id_column}_b")

@@ -122,8 +122,9 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = p8_pack(spark, sf_dir)
-    return packed.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+    """The messages that the packing lays into more than one container."""
+    used = p8_pack(spark, sf_dir).groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return used.where("a <> b").select("doc_id")
 
 
 # -- 9: abuse ----------------------------------------------------------------------------------------------------------

@@ -44,3 +44,12 @@ def test_pairs(spark):
     assert by_id[9] == ("оnlyhere", False)  # the repaired form isn't in the vocabulary
     assert 4 not in by_id
     assert confusable.lookalike_pairs(df.limit(0)).collect() == []
+
+
+def test_large_class_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(confusable, "BLOCK", 7)
+    rows = [(i, "ｎoon" if i % 3 == 0 else "noon" if i % 3 == 1 else "noon ") for i in range(60)] + [(99, "other"), (100, None)]
+    df = spark.createDataFrame(rows, "word_id long, word string")
+    got = {tuple(r) for r in confusable.lookalike_pairs(df).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3}
+    assert {(r.form, r.n_rows) for r in confusable.classes(df).collect()} == {("noon", 60)}
