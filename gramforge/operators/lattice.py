@@ -21,8 +21,8 @@ from .evaluate import longest_match
 from .text import BOUNDARY
 
 ARCS = "tag string, arc int, src int, dst int, word string, base_w double"
+# The first two lines of a lattice file, and the number of arcs from which confidence is 0.
 HEADER, INITIAL = "#FSTBasic MinPlus", "I 0"
-MAX_HISTORIES = 256
 MAX_NETWORK_ARCS = 1_000_000
 
 
@@ -100,8 +100,6 @@ def arc_contexts(arcs: DataFrame, order: int) -> DataFrame:
                 out.append((tag, arc, min(order, len(words)), " ".join(words[-order:])))
                 to = histories.setdefault(dst, set())
                 to.add(words[-(order - 1) :] if order > 1 else ())
-                if len(to) > MAX_HISTORIES:
-                    raise ValueError(f"lattice {tag}: node {dst} has too many histories")
         return pd.DataFrame(out, columns=["tag", "arc", "ctx", "ngram"])
 
     return arcs.groupBy("tag").applyInPandas(run, "tag string, arc int, ctx int, ngram string")
@@ -266,38 +264,54 @@ class Lattice:
         return np.nan_to_num(out)
 
     def confidence(self) -> float:
-        """Mean posterior of the best path's words in a confusion network around that path; 0 for a huge lattice."""
+        """Mean posterior of the best path's words in a confusion network around that path; 0 for a huge lattice.
+
+        Pivot alignment: every arc belongs to the stretch of the best path that it overlaps most, measured in expected
+        places.  Arcs of one stretch that follow each other can't be alternatives, so a stretch has a column for each
+        number of arcs that come before an arc within it.  A word's posterior is the mass of its column's arcs with that
+        word; what a column lacks to 1 belongs to the empty word."""
         if len(self.src) > MAX_NETWORK_ARCS:
             return 0.0
         posterior, place = self.posteriors(), self.positions()
         _, path = self.best_path()
-        ends = [float(place[self.dst[i]]) for i in path[:-1]] + [1.0]
-        slots: list[dict] = [{"end": e, "base": i, "arcs": []} for e, i in zip(ends, path, strict=True)]
-        for i in range(len(self.src)):
-            a, b = float(place[self.src[i]]), float(place[self.dst[i]])
-            k = 0
-            while k + 1 < len(slots) and slots[k]["end"] < a:
-                k += 1
-            if k + 1 < len(slots) and slots[k]["end"] - a < min(slots[k + 1]["end"], b) - slots[k]["end"]:
-                k += 1
-            if any(self.dst[j] == self.src[i] for j in slots[k]["arcs"]):
-                # the arc follows one of this slot: the slot is cut where the arc begins
-                slots.insert(k + 1, {"end": slots[k]["end"], "base": None, "arcs": []})
-                slots[k]["end"] = a
-                k += 1
-            slots[k]["arcs"].append(i)
-        total, n = 0.0, 0
-        for slot in slots:
-            mass: dict[str, float] = {}
-            for i in slot["arcs"]:
-                mass[self.word[i]] = mass.get(self.word[i], 0.0) + float(posterior[i])
-            rest = 1.0 - sum(mass.values())
-            if rest > 0:
-                mass[BOUNDARY] = mass.get(BOUNDARY, 0.0) + rest
-            if slot["base"] is not None and self.word[slot["base"]] in mass:
-                total += mass[self.word[slot["base"]]]
-                n += 1
-        return total / n if n else 0.0
+        if not path:
+            return 0.0
+        stretch = self._stretches(place, path)
+        column = np.zeros(len(self.src), int)
+        reached: dict[tuple[int, int], int] = {}  # (stretch, node) -> arcs that lead to the node within the stretch
+        for i, k in enumerate(stretch.tolist()):
+            column[i] = reached.get((k, self.src[i]), 0)
+            to = k, self.dst[i]
+            reached[to] = max(column[i] + 1, reached.get(to, 0))
+        cell = list(zip(stretch.tolist(), column.tolist(), strict=True))
+        mass: dict[tuple[int, int], float] = {}
+        of_word: dict[tuple[int, int, str], float] = {}
+        for c, w, p in zip(cell, self.word, posterior.tolist(), strict=True):
+            mass[c] = mass.get(c, 0.0) + p
+            of_word[*c, w] = of_word.get((*c, w), 0.0) + p
+        each = [
+            of_word[*cell[i], self.word[i]] + (max(0.0, 1.0 - mass[cell[i]]) if self.word[i] == BOUNDARY else 0.0) for i in path
+        ]
+        return float(np.mean(each))
+
+    def _stretches(self, place: np.ndarray, path: list[int]) -> np.ndarray:
+        """For each arc the arc of the path (its number) that it overlaps most; of equal overlaps, and without any, the one
+        whose middle is nearest."""
+        begin, end = place[self.src], place[self.dst]
+        ends = np.maximum.accumulate(place[[self.dst[i] for i in path]])
+        begins = np.concatenate([[0.0], ends[:-1]])
+        # only the stretches from the one where an arc begins to the one where it ends can overlap it
+        first = np.minimum(np.searchsorted(ends, begin, "right"), len(path) - 1)
+        last = np.maximum(np.minimum(np.searchsorted(begins, end, "left") - 1, len(path) - 1), first)
+        best, score = first.copy(), np.full(len(begin), -np.inf)
+        for step in range(int((last - first).max(initial=0)) + 1):
+            k = np.minimum(first + step, last)
+            overlap = np.minimum(end, ends[k]) - np.maximum(begin, begins[k])
+            nearness = -np.abs((begin + end) - (begins[k] + ends[k])) * 1e-6
+            better = overlap + nearness > score
+            best, score = np.where(better, k, best), np.where(better, overlap + nearness, score)
+        best[path] = np.arange(len(path))
+        return best
 
 
 def word_errors(hyp: list[str], ref: list[str]) -> int:

@@ -13,6 +13,8 @@ import os
 import shutil
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,23 +30,36 @@ def paths(names: str | list[str]) -> list[str]:
     return [x.strip() for x in names.split(",") if x.strip()] if isinstance(names, str) else list(names)
 
 
-def lines(spark: SparkSession, names: str | list[str]) -> DataFrame:
-    """(value): the lines of text files, plain or compressed; there is no limit to their length."""
+def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, data in zip(batch["path"], batch["content"], strict=True):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for name in z.namelist():
+                    text = z.read(name).decode("utf-8", "replace")
+                    yield pd.DataFrame({"f": f"{path}#{name}", "value": text.removesuffix("\n").split("\n")})
+
+
+def named_lines(spark: SparkSession, names: str | list[str]) -> DataFrame:
+    """(f, value): the lines of text files, plain or compressed (gz, bz2, zip), with their file.  Lines have no limit."""
     names = paths(names)
     plain = [n for n in names if not n.endswith(".zip")]
-    out = spark.read.text(plain, lineSep="\n") if plain else spark.createDataFrame([], "value string")
     zipped = [n for n in names if n.endswith(".zip")]
+    parts = []
+    if plain:
+        parts.append(spark.read.text(plain, lineSep="\n").select(F.col("_metadata.file_path").alias("f"), "value"))
     if zipped:
-        def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for data in batch["content"]:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for name in z.namelist():
-                            text = z.read(name).decode("utf-8", "replace")
-                            yield pd.DataFrame({"value": text.removesuffix("\n").split("\n")})
+        parts.append(spark.read.format("binaryFile").load(zipped).select("path", "content").mapInPandas(_unzip, "f string, value string"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "f string, value string")
 
-        out = out.unionByName(spark.read.format("binaryFile").load(zipped).select("content").mapInPandas(unzip, "value string"))
-    return out
+
+def lines(spark: SparkSession, names: str | list[str]) -> DataFrame:
+    """(value): the lines of text files."""
+    return named_lines(spark, names).select("value")
+
+
+def _bad(what: str, line: Column) -> Column:
+    """Fails with the line."""
+    return F.raise_error(F.concat(F.lit(f"{what}: "), line))
 
 
 def _clean(rows: DataFrame) -> DataFrame:
@@ -76,7 +91,7 @@ def _ends_before(rows: DataFrame, ends: Column) -> DataFrame:
 
 def documents(spark: SparkSession, names: str | list[str]) -> DataFrame:
     """(doc_id, line_no, w): sentences of corpus files whose documents end with `</DOC>` lines; none crosses files."""
-    rows = spark.read.text(paths(names)).select(F.col("_metadata.file_path").alias("f"), "value").withColumn("n", F.monotonically_increasing_id())
+    rows = named_lines(spark, names).withColumn("n", F.monotonically_increasing_id())
     rows = _ends_before(rows, F.col("value") == "</DOC>").where(~T.is_marker(F.col("value")))
     return rows.select(F.concat_ws("#", "f", F.col("__ends").cast("string")).alias("doc_id"), F.col("n").alias("line_no"), T.bounded(F.col("value")).alias("w"))
 
@@ -92,10 +107,15 @@ def vocab(spark: SparkSession, names: str | list[str]) -> DataFrame:
 
 def counts(spark: SparkSession, names: str | list[str], order: int | None = None) -> DataFrame:
     """(ord, ngram, cnt) of counts files: equal n-grams add up, longer ones than the order are left out, prefixes and
-    suffixes that are missing come in with count 0.  Order-0 lines hold no n-gram and are skipped."""
+    suffixes that are missing come in with count 0.  Order-0 lines hold no n-gram and are skipped.  A line whose last word
+    is no integer fails."""
     w = T.words(F.col("value"))
-    rows = _clean(lines(spark, names)).select(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("w"), F.element_at(w, -1).try_cast("bigint").alias("cnt"))
-    rows = rows.where((F.size("w") > 0) & F.col("cnt").isNotNull())
+    number = F.element_at(w, -1).try_cast("bigint")
+    rows = _clean(lines(spark, names)).select(
+        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("w"),
+        F.coalesce(number, _bad("bad count", F.col("value")).cast("bigint")).alias("cnt"),
+    )
+    rows = rows.where(F.size("w") > 0)
     if order is not None:
         rows = rows.where(F.size("w") <= order)
     rows = rows.select(F.size("w").alias("ord"), F.array_join(_internal(F.col("w")), " ").alias("ngram"), "cnt")
@@ -103,14 +123,14 @@ def counts(spark: SparkSession, names: str | list[str], order: int | None = None
 
 
 def features(spark: SparkSession, names: str | list[str]) -> DataFrame:
-    """(ord, ngram, value, line) of feature files; a line without words gives the order-0 value."""
+    """(ord, ngram, value, line) of feature files; a line without words gives the order-0 value.  A bad number fails."""
     w = T.words(F.col("value"))
-    rows = _clean(lines(spark, names)).select(F.monotonically_increasing_id().alias("line"), w.alias("w"))
+    rows = _clean(lines(spark, names)).select(F.monotonically_increasing_id().alias("line"), w.alias("w"), "value")
     words = F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))
     return rows.select(
         F.size(words).alias("ord"), F.array_join(_internal(words), " ").alias("ngram"),
-        F.element_at("w", -1).try_cast("double").alias("value"), "line",
-    ).where("value is not null")
+        F.coalesce(F.element_at("w", -1).try_cast("double"), _bad("bad value", F.col("value")).cast("double")).alias("value"), "line",
+    )
 
 
 def hmm_lda(spark: SparkSession, names: str | list[str]) -> DataFrame:
@@ -133,15 +153,32 @@ def hmm_lda(spark: SparkSession, names: str | list[str]) -> DataFrame:
     return inner.select("line_no", w.alias("w"), s.alias("s"))
 
 
-def arpa(spark: SparkSession, names: str | list[str], order: int | None = None) -> DataFrame:
+def arpa(spark: SparkSession, names: str | list[str], order: int | None = None, check: bool = True) -> DataFrame:
     """Model (ord, ngram, hist, suffix, word, prob, bow) of ARPA files.
 
     A line's number of words is its order, so no line needs its section and files may be split anywhere.  Log
-    probabilities of -99 and less are 0; the `<s>` line gives the back-off weight of the boundary."""
+    probabilities of -99 and less are 0; the `<s>` line gives the back-off weight of the boundary.  A line with a bad number
+    or without words fails; with check, so do files whose entries are not as many as their headers say."""
     parts = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    rows = lines(spark, names).where(F.col("value").contains("\t")).select(
-        F.get(parts, 0).try_cast("double").alias("lp"), T.words(F.get(parts, 1)).alias("w"), F.get(parts, 2).try_cast("double").alias("lb")
-    ).where("lp is not null")
+    text = lines(spark, names)
+    v = F.col("value")
+    if check:
+        header = F.regexp_extract(v, r"^ngram\s+(\d+)\s*=\s*(\d+)\s*$", 1), F.regexp_extract(v, r"^ngram\s+(\d+)\s*=\s*(\d+)\s*$", 2)
+        entry = F.size(T.words(F.get(parts, 1)))
+        of = F.when(v.contains("\t"), F.struct(entry.alias("ord"), F.lit(None).cast("bigint").alias("said")))
+        of = of.when(v.startswith("ngram"), F.struct(header[0].try_cast("int").alias("ord"), header[1].try_cast("bigint").alias("said")))
+        found = text.select(of.alias("x")).where("x is not null").groupBy("x.ord").agg(
+            F.count_if(F.col("x.said").isNull()).alias("n"), F.sum("x.said").alias("said")
+        )
+        for r in found.orderBy("ord").collect():  # one row for each order
+            if r["said"] is not None and r["said"] != r["n"]:
+                raise ValueError(f"order {r['ord']} has {r['n']} n-grams, but the header says {r['said']}")
+    lp, lb, w = F.get(parts, 0).try_cast("double"), F.get(parts, 2).try_cast("double"), T.words(F.get(parts, 1))
+    looks = v.contains("\t") | v.rlike(r"^\s*[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?(?:\s|$)")
+    wrong = lp.isNull() | (F.size(w) < 1) | (F.size(parts) > 3) | (F.get(parts, 2).isNotNull() & lb.isNull())
+    rows = text.where(looks).select(
+        F.when(wrong, _bad("bad line", v).cast("double")).otherwise(lp).alias("lp"), w.alias("w"), lb.alias("lb")
+    )
     if order is not None:
         rows = rows.where(F.size("w") <= order)
     start = (F.size("w") == 1) & (F.get("w", 0) == T.START)
@@ -162,11 +199,20 @@ def lattice_list(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
     """Arcs and references (tag, words) of a list of lattices, one line `tag file transcript...` each."""
     base = os.path.dirname(name)
     listed = _clean(lines(spark, name)).select(T.words(F.col("value")).alias("w"))
-    listed = listed.select(F.get("w", 0).alias("tag"), F.get("w", 1).alias("file"), F.slice("w", 3, F.size("w")).alias("words"))
-    files = [(r["tag"], r["file"] if os.path.isabs(r["file"]) else os.path.join(base, r["file"])) for r in listed.select("tag", "file").collect()]
-    text = spark.read.text([f for _, f in files], wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
-    tags = spark.createDataFrame([(t, os.path.basename(f)) for t, f in files], "tag string, base string")
-    named = text.withColumn("base", F.substring_index(F.url_decode("p"), "/", -1)).join(tags, "base")
+    file = F.get("w", 1)
+    path = F.when(file.startswith("/") | file.contains("://"), file).otherwise(F.concat(F.lit(f"{base}/" if base else ""), file))
+    listed = listed.select(F.get("w", 0).alias("tag"), path.alias("path"), F.slice("w", 3, F.size("w")).alias("words"))
+    # a scan's files are named on the driver, as for every file source
+    found = list(dict.fromkeys(r["path"] for r in listed.select("path").toLocalIterator()))
+    if not found:
+        text = spark.createDataFrame([], "p string, text string")
+    else:
+        text = spark.read.text(found, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
+    here = "" if os.path.isabs(base) or "://" in base else os.getcwd() + "/"
+    bare = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"(/\.)?/+", "/")
+    whole = F.when(F.col("path").startswith("/") | F.col("path").contains("://"), F.col("path")).otherwise(F.concat(F.lit(here), F.col("path")))
+    decoded = F.url_decode(F.replace("p", F.lit("+"), F.lit("%2B")))
+    named = text.withColumn("bare", bare(decoded)).join(listed.select("tag", bare(whole).alias("bare")), "bare")
     arcs = parse_lattices(named.select("tag", "text"))
     refs = listed.select("tag", F.filter("words", lambda x: ~x.startswith("<")).alias("words"))
     return arcs, refs
@@ -190,19 +236,38 @@ def is_table(name: str) -> bool:
 # -- sinks -------------------------------------------------------------------------------------------------------------
 
 
+_CODECS = {".gz": "gzip", ".bz2": "bzip2"}
+
+
 def write_lines(rows: DataFrame, name: str, sort: list[Column] | None = None, single: bool = True) -> None:
     """Writes column value as text, in the order of sort; to a folder of parts where `single` is false or the path is not
-    a local one."""
+    a local one.
+
+    A name that ends with gz or bz2 is compressed by the tasks that write the parts: compressed files may follow each other
+    in one file.  zip is for single local files."""
+    ending = os.path.splitext(name)[1]
     single = single and "://" not in name
+    if ending == ".zip" and not single:
+        raise ValueError("zip archives can only be written as single local files")
     rows = rows.orderBy(*sort) if sort else rows
     part = name + ".parts" if single else name
-    rows.select("value").write.mode("overwrite").text(part)
-    if single:
+    rows.select("value").write.mode("overwrite").text(part, compression=_CODECS.get(ending, "none"))
+    if not single:
+        return
+    parts = [os.path.join(part, p) for p in sorted(os.listdir(part)) if p.startswith("part-")]
+    if ending == ".zip":
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z, z.open(os.path.basename(name)[:-4], "w", force_zip64=True) as out:
+            _append(parts, out)
+    else:
         with open(name, "wb") as out:
-            for p in sorted(x for x in os.listdir(part) if x.startswith("part-")):
-                with open(os.path.join(part, p), "rb") as f:
-                    shutil.copyfileobj(f, out)
-        shutil.rmtree(part)
+            _append(parts, out)
+    shutil.rmtree(part)
+
+
+def _append(parts: list[str], out: BinaryIO) -> None:
+    for p in parts:
+        with open(p, "rb") as f:
+            shutil.copyfileobj(f, out)
 
 
 def counts_lines(rows: DataFrame, value: str = "cnt") -> tuple[DataFrame, list[Column]]:
@@ -273,8 +338,10 @@ def write_vocab(model: DataFrame, name: str) -> None:
 
 
 def write_features(rows: DataFrame, name: str) -> None:
-    text = F.concat(C.shown(), F.lit("\t"), F.format_string("%f", F.col("value")))
-    write_lines(rows.where("ord > 0").select("ord", "ngram", text.alias("value")), name, sort=C.export_order())
+    """Lines `w1 ... wk<TAB>value`; the order-0 value, if there is one, comes first in a line without words."""
+    shown = F.when(F.col("ord") == 0, F.lit("")).otherwise(C.shown())
+    text = F.concat(shown, F.lit("\t"), F.format_string("%f", F.col("value")))
+    write_lines(rows.select("ord", "ngram", text.alias("value")), name, sort=C.export_order())
 
 
 def write_params(params: list[float], name: str) -> None:

@@ -63,11 +63,55 @@ def test_counts_round_trip(spark, folder):
         assert rows(again, "ord", "ngram", "cnt") == rows(c, "ord", "ngram", "cnt")
     both = api.load_counts(spark, 3, text=f"{folder}/a.txt", counts=f"{folder}/countsFalse")
     assert rows(both, "cnt")[-1][0] == 2 * rows(c, "cnt")[-1][0]
-    (folder / "odd").write_text("# c\n\n\t6\na b 2\na b 3\nx\na b c d 9\nbad count\n")
+    (folder / "odd").write_text("# c\n\n\t6\na b 2\na b 3\na b c d 9\n")
     got = {(r.ord, r.ngram): r.cnt for r in files.counts(spark, f"{folder}/odd", 3).collect()}
     assert got == {(2, "a b"): 5, (1, "a"): 0, (1, "b"): 0}
+    (folder / "odd").write_text("a b 2\nbad count\n")
+    with pytest.raises(Exception, match="bad count"):
+        files.counts(spark, f"{folder}/odd", 3).collect()
 
 
+@pytest.mark.parametrize("ending", ["gz", "bz2", "zip"])
+def test_compressed_files(spark, folder, ending):
+    c = api.load_counts(spark, 3, text=f"{folder}/a.txt")
+    files.write_counts(c, f"{folder}/c.{ending}")
+    with open(f"{folder}/c.{ending}", "rb") as f:
+        assert f.read(2) in (b"\x1f\x8b", b"BZ", b"PK")
+    assert rows(files.counts(spark, f"{folder}/c.{ending}", 3), "ord", "ngram", "cnt") == rows(c, "ord", "ngram", "cnt")
+    docs = spark.createDataFrame([("<DOC 1>",), ("a b",), ("</DOC>",), ("c",), ("</DOC>",)], "value string").coalesce(1)
+    files.write_lines(docs, f"{folder}/docs.{ending}")
+    assert len({r.doc_id for r in files.documents(spark, f"{folder}/docs.{ending}").collect()}) == 2
+
+
+@pytest.mark.parametrize("text, message", [
+    ("\\data\\\nngram 1=2\n\n\\1-grams:\n-1\ta\n\n\\end\\\n", "header says 2"),
+    ("\\data\\\nngram 1=1\n\n\\1-grams:\n-x\ta\n\n\\end\\\n", "bad line"),
+    ("\\data\\\nngram 1=1\n\n\\1-grams:\n-1\ta\tx\n\n\\end\\\n", "bad line"),
+    ("\\data\\\nngram 1=1\n\n\\1-grams:\n-1\ta\n-2 b\n\n\\end\\\n", "bad line"),
+])
+def test_broken_models_fail(spark, folder, text, message):
+    (folder / "broken.lm").write_text(text)
+    with pytest.raises(Exception, match=message):
+        files.arpa(spark, f"{folder}/broken.lm").collect()
+
+
+def test_feature_sink_with_order_0(spark, folder):
+    f = spark.createDataFrame([(0, "", 0.5), (1, "a", 1.0), (2, "a b", 2.0)], "ord int, ngram string, value double")
+    files.write_features(f, f"{folder}/features")
+    assert (folder / "features").read_text() == "\t0.500000\na\t1.000000\na b\t2.000000\n"
+    assert rows(files.features(spark, f"{folder}/features"), "ord", "ngram", "value") == rows(f, "ord", "ngram", "value")
+
+
+def test_lattices_of_equal_names(spark, folder):
+    for name, word in (("a", "x"), ("b+ c", "y")):
+        (folder / name).mkdir()
+        (folder / name / "utt.fst").write_text(f"#FSTBasic MinPlus\nI 0\nT 0 1 {word} {word} 1\nF 1 0\n")
+    (folder / "b+ c").rename(folder / "b+c")
+    (folder / "same").write_text(f"t1 a/utt.fst x\nt2 {folder}/b+c/utt.fst y\nt3 a/utt.fst z\n")
+    arcs, refs = files.lattice_list(spark, f"{folder}/same")
+    assert {(r.tag, r.word) for r in arcs.where("arc = 0").collect()} == {("t1", "x"), ("t2", "y"), ("t3", "x")}
+    assert arcs.count() == 6 and refs.count() == 3
+
 def test_model_round_trip(spark, folder):
     c = api.load_counts(spark, 3, text=f"{folder}/a.txt")
     m = S.kneser_ney(c, 3).persist()
@@ -87,7 +131,7 @@ def test_model_round_trip(spark, folder):
 
 
 def test_features_params_and_topics(spark, folder):
-    (folder / "f").write_text("# f\na b 1.5\na b 2.5\n0.25\nc x\n")
+    (folder / "f").write_text("# f\na b 1.5\na b 2.5\n0.25\n")
     got = [(r.ord, r.ngram, r.value) for r in files.features(spark, f"{folder}/f").orderBy("line").collect()]
     assert got == [(2, "a b", 1.5), (2, "a b", 2.5), (0, "", 0.25)]
     files.write_features(files.features(spark, f"{folder}/f").where("value = 2.5"), f"{folder}/g")
