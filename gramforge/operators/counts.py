@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+from .skew import mark
 from .text import BOUNDARY, START, UNKNOWN
 
 
@@ -56,17 +58,15 @@ def count_ngrams(tokens: DataFrame, order: int) -> DataFrame:
 def _each_word(counts: DataFrame, vocab: DataFrame, replace: bool) -> DataFrame:
     """Counts with every word looked up: OOV n-grams dropped, or OOV words replaced and counts added up.
 
-    Works on counted n-grams, never on the text, so its joins see each n-gram once.
-    """
+    Works on counted n-grams, never on the text.  The OOV words are found among the distinct words; if they are few (their
+    bytes are counted) they are broadcast and n-grams are not shuffled by their words, else the words' join is salted."""
     known = vocab.select("word").where("word is not null").union(
         counts.sparkSession.createDataFrame([(BOUNDARY,), *([(UNKNOWN,)] if replace else [])], "word string")
     ).distinct()
-    base = counts.withColumn("__w", F.split("ngram", " "))
-    rows = base.select("ord", "ngram", "cnt", F.posexplode("__w").alias("__i", "word"))
-    words = rows.select("word").distinct()
-    unknown = words.join(known, "word", "left_anti")  # the OOV words; joins below only see these
+    rows = counts.select("ord", "ngram", "cnt", F.posexplode(F.split("ngram", " ")).alias("__i", "word"))
+    unknown = checkpoint(rows.select("word").distinct().join(known, "word", "left_anti"))
+    marked = mark(rows, unknown, "word", "__oov", ["ord", "ngram", "__i"])
     if replace:
-        marked = rows.join(unknown.withColumn("__oov", F.lit(True)), "word", "left")
         new = marked.groupBy("ord", "ngram").agg(
             F.first("cnt").alias("cnt"),
             F.array_sort(
@@ -77,8 +77,8 @@ def _each_word(counts: DataFrame, vocab: DataFrame, replace: bool) -> DataFrame:
         )
         joined = F.array_join(F.transform("__w", lambda s: s["word"]), " ")
         return new.select("ord", joined.alias("ngram"), "cnt").groupBy("ord", "ngram").agg(F.sum("cnt").alias("cnt"))
-    bad = rows.join(unknown, "word", "left_semi").select("ord", "ngram").distinct()
-    return counts.join(bad, ["ord", "ngram"], "left_anti")
+    whole = marked.groupBy("ord", "ngram").agg(F.first("cnt").alias("cnt"), F.bool_or("__oov").alias("__bad"))
+    return whole.where(~F.col("__bad")).drop("__bad")
 
 
 def close_vocabulary(counts: DataFrame, vocab: DataFrame) -> DataFrame:

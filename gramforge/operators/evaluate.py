@@ -9,17 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+from .skew import mark
+
 
 def ln(x: Column) -> Column:
     """Natural logarithm with -inf at 0."""
     return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf")))
 
 
-def contexts(tokens: DataFrame, model: DataFrame, order: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def contexts(
+    tokens: DataFrame, model: DataFrame, order: int, keep: list[str], vocab: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Distinct contexts (ctx, ngram, cnt) of the in-vocabulary tokens, and the OOV tokens (keep, line_no, i, word).
 
     ctx is the length of the longest n-gram to try: 2 at a line's first word, one more at each next word up to the order,
-    1 after an OOV word.  The vocabulary is the model's unigrams.
+    1 after an OOV word.  The vocabulary is the model's unigrams, with vocab (word) only those of them that it has.
+
+    The text's distinct words are looked up, not its tokens; the OOV ones among them mark the tokens (broadcast after their
+    bytes were counted, or by a salted join).
     """
     last = F.transform(
         F.sequence(F.lit(2), F.size("w")),
@@ -30,8 +38,11 @@ def contexts(tokens: DataFrame, model: DataFrame, order: int, keep: list[str]) -
     )
     rows = tokens.select(*keep, "line_no", F.explode(last).alias("__t")).select(*keep, "line_no", "__t.*")
     rows = rows.withColumn("word", F.element_at("__last", -1))
-    known = model.where("ord = 1").select(F.col("ngram").alias("word"), F.lit(True).alias("__known"))
-    rows = rows.join(known, "word", "left").withColumn("__oov", F.col("__known").isNull())
+    known = model.where("ord = 1").select(F.col("ngram").alias("word"))
+    if vocab is not None:
+        known = known.join(vocab.select("word").distinct(), "word", "left_semi")
+    unknown = checkpoint(rows.select("word").distinct().join(known, "word", "left_anti"))
+    rows = mark(rows, unknown, "word", "__oov", [*keep, "line_no", "i"])
     before = Window.partitionBy(*keep, "line_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     reset = F.coalesce(F.max(F.when(F.col("__oov"), F.col("i"))).over(before), F.lit(-1))
     rows = rows.withColumn("ctx", F.least(F.lit(order), F.col("i") - reset))
@@ -77,13 +88,15 @@ def matched_ngram() -> Column:
     return F.expr("substring_index(ngram, ' ', -ord)")
 
 
-def perplexity(tokens: DataFrame, model: DataFrame, order: int, keep: list[str], per_token: bool = False) -> DataFrame:
+def perplexity(
+    tokens: DataFrame, model: DataFrame, order: int, keep: list[str], per_token: bool = False, vocab: DataFrame | None = None
+) -> DataFrame:
     """One row: n_words (scored), n_oov, n_zero, entropy, perplexity.
 
     Words of probability 0 add nothing to the log-probability.  n_zero counts them once per distinct model row, and with
     per_token once per token; it is taken from the number of words in the mean.  A back-off weight of 0 gives infinity.
     """
-    seen, oov = contexts(tokens, model, order, keep)
+    seen, oov = contexts(tokens, model, order, keep, vocab)
     m = longest_match(seen, model)
     zero = (F.col("prob") == 0).cast("int")
     n_zero = F.sum(F.col("cnt") * zero) if per_token else F.count_distinct(F.when(F.col("prob") == 0, F.struct("ord", matched_ngram())))

@@ -400,5 +400,7 @@ def transcripts(u: DataFrame) -> DataFrame:
 
 
 def needed_ngrams(arcs: DataFrame, order: int) -> DataFrame:
-    """(ord, ngram) that the lattices look up at most."""
-    return arc_contexts(arcs, order).select(F.col("ctx").alias("ord"), "ngram").distinct()
+    """(ord, ngram) that rescoring the lattices looks up at most: arcs' n-grams and their histories."""
+    own = arc_contexts(arcs, order).select(F.col("ctx").alias("ord"), "ngram").distinct()
+    hists = own.where("ord > 1").select((F.col("ord") - 1).alias("ord"), F.expr("substring_index(ngram, ' ', ord - 1)").alias("ngram"))
+    return own.unionByName(hists).distinct()

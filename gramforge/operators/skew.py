@@ -103,24 +103,58 @@ def skew_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    sizes: DataFrame,
+    sizes: DataFrame | None,
     spread: list[str],
     how: str = "left",
     share: float = HEAVY_SHARE,
     salts: int = SALTS,
     total: Column | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """left join right on keys (unique in right) although a few keys hold most rows of left.
 
     sizes: (keys, n_rows) of left, which the caller mostly has already; total: their sum, if known.  The rows of a key with more than `share` of all
     rows are spread over `salts` tasks by a hash of `spread`, and the right row of just these keys is repeated once for
-    each salt.  At most 1 / share keys are heavy, which bounds the broadcast of their list.
+    each salt.  At most 1 / share keys are heavy, which bounds the broadcast of their list.  heavy: these keys, where they
+    are known already; sizes may then be null.
     """
-    total = sizes.agg(F.sum("n_rows")).scalar() if total is None else total
-    heavy = sizes.where(F.col("n_rows") > F.lit(share) * total).select(*keys, F.lit(True).alias("__heavy"))
-    heavy = F.broadcast(heavy)
+    if heavy is None:
+        total = sizes.agg(F.sum("n_rows")).scalar() if total is None else total
+        heavy = sizes.where(F.col("n_rows") > F.lit(share) * total)
+    heavy = F.broadcast(heavy.select(*keys, F.lit(True).alias("__heavy")))
     number = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     a = left.join(heavy, keys, "left").withColumn("__salt", F.when(F.col("__heavy"), number).otherwise(F.lit(0)))
     copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = right.join(heavy, keys, "left").withColumn("__salt", F.explode(copies))
     return a.drop("__heavy").join(b.drop("__heavy"), [*keys, "__salt"], how).drop("__salt")
+
+
+#: Most bytes of a table that is broadcast after it was measured.
+MAX_BROADCAST = 32 << 20
+
+
+def small(rows: DataFrame, key: str) -> bool:
+    """Whether the strings of a (checkpointed) key table can be broadcast: their bytes are counted."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(key) + F.lit(32)), F.lit(0))).first()[0]
+    return size <= MAX_BROADCAST
+
+
+def mark(rows: DataFrame, members: DataFrame, key: str, name: str, spread: list[str]) -> DataFrame:
+    """rows with a boolean column `name`: whether key is among members (checkpointed, each key once).
+
+    Members of at most `MAX_BROADCAST` bytes are broadcast, so rows are not shuffled; beyond that the join is salted."""
+    flagged = members.select(key, F.lit(True).alias(name))
+    if small(members, key):
+        out = rows.join(F.broadcast(flagged), key, "left")
+    else:
+        out = skew_join(rows, flagged, [key], key_rows(rows, key), spread)
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
+def heavy_sides(rows: DataFrame, group: str, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
+    """(group, side, key): of each group's rows the values of each of `keys` (side names it) that hold more than `share`; at
+    most 1 / share for each group and side.  One aggregation, combined before its shuffle."""
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("key")) for k in keys])).alias("__s")
+    n = rows.select(group, sides).groupBy(group, "__s.side", "__s.key").agg(F.count(F.lit(1)).alias("n_rows"))
+    totals = n.where(F.col("side") == keys[0]).groupBy(group).agg(F.sum("n_rows").alias("__total"))
+    return n.join(F.broadcast(totals), group).where(F.col("n_rows") > F.lit(share) * F.col("__total")).select(group, "side", "key")

@@ -91,7 +91,9 @@ def given_discounts(eff: DataFrame, values: dict[int, list[float]]) -> DataFrame
     for order, d in values.items():
         if not check_bounds(d):
             raise ValueError(f"discounts of order {order} are out of bounds")
-    return eff.sparkSession.createDataFrame([(o, [float(x) for x in d]) for o, d in values.items()], "ord int, d array<double>")
+    most = max(1, *(len(d) for d in values.values()))
+    full = [(o, [float(d[min(i, len(d) - 1)]) if d else 0.0 for i in range(most)]) for o, d in values.items()]
+    return eff.sparkSession.createDataFrame(full, "ord int, d array<double>")
 
 
 def _discount(number: int, eff: Column) -> Column:

@@ -15,7 +15,7 @@ from ..operators import interpolate as I
 from ..operators import model as M
 from ..operators import smoothing as S
 from ..operators import text as T
-from ..session import checkpoint
+from ..session import at_once, checkpoint
 from . import lm_sql as Q
 from .lm import ITEMS, MODEL, ORDER, _kn, _model, counted, kn, log10, table, tokens
 
@@ -53,16 +53,26 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_rows(table(spark, sf_dir, "eval_items"), ["item_id"])
 
 
+def _needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, ngram) that the evaluation texts can look up."""
+    return C.count_ngrams(_items(spark, sf_dir), ORDER).select("ord", "ngram")
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the model that the evaluation texts need."""
+    return checkpoint(S.kneser_ney(counted(spark, sf_dir), ORDER, 3, needed=_needed(spark, sf_dir)))
+
+
 def eval_match_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the words of the evaluation texts are matched: by context length and matched order."""
-    m = checkpoint(kn(spark, sf_dir))
+    m = _masked(spark, sf_dir)
     seen, _ = E.contexts(_items(spark, sf_dir), m, ORDER, ["item_id"])
     return E.longest_match(seen, m).groupBy("ctx", "ord").agg(F.sum("cnt").alias("n"))
 
 
 def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability and back-off of every distinct context of the evaluation texts."""
-    m = checkpoint(kn(spark, sf_dir))
+    m = _masked(spark, sf_dir)
     seen, _ = E.contexts(_items(spark, sf_dir), m, ORDER, ["item_id"])
     s = E.longest_match(seen, m)
     return s.select("ctx", "ngram", "cnt", "ord", log10(F.col("prob")).alias("log10prob"), (F.round("ln_bow", 6) + 0.0).alias("ln_bow"))
@@ -73,7 +83,7 @@ def _perplexity(p: DataFrame) -> DataFrame:
 
 
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = checkpoint(kn(spark, sf_dir))
+    m = _masked(spark, sf_dir)
     return _perplexity(E.perplexity(_items(spark, sf_dir), m, ORDER, ["item_id"]))
 
 
@@ -81,7 +91,7 @@ def closed_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity by the closed-vocabulary model: many OOV words reset the context."""
     from .lm import closed_vocab_counts
 
-    m = checkpoint(S.kneser_ney(closed_vocab_counts(spark, sf_dir), ORDER, 3, closed=True))
+    m = checkpoint(S.kneser_ney(closed_vocab_counts(spark, sf_dir), ORDER, 3, closed=True, needed=_needed(spark, sf_dir)))
     return _perplexity(E.perplexity(_items(spark, sf_dir), m, ORDER, ["item_id"]))
 
 
@@ -90,12 +100,12 @@ def closed_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     english = F.coalesce(F.col("lang"), F.lit("")) == "en"
-    return [checkpoint(C.count_ngrams(tokens(spark, sf_dir, w), ORDER)) for w in (english, ~english)]
+    return at_once(*[lambda w=w: checkpoint(C.count_ngrams(tokens(spark, sf_dir, w), ORDER)) for w in (english, ~english)])
 
 
 def _components(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[DataFrame]]:
     parts = _parts(spark, sf_dir)
-    return parts, [checkpoint(S.kneser_ney(c, ORDER, 3)) for c in parts]
+    return parts, at_once(*[lambda c=c: checkpoint(S.kneser_ney(c, ORDER, 3)) for c in parts])
 
 
 def lm_merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +123,32 @@ def lm_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def _li(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _li(spark: SparkSession, sf_dir: str, needed: DataFrame | None = None) -> DataFrame:
     _, models = _components(spark, sf_dir)
-    return I.interpolate(models, ORDER, I.Mixture([[0.4]], [[[], []]], [[], []]))
+    return I.interpolate(models, ORDER, I.Mixture([[0.4]], [[[], []]], [[], []]), needed=needed)
+
+
+def realigned_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English component smoothed again over the n-grams of both components."""
+    parts = _parts(spark, sf_dir)
+    c = checkpoint(M.realign(parts[0], M.merged_keys(parts)))
+    return _model(S.kneser_ney(c, ORDER, 3))
+
+
+def masked_cm_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count merging of only what the evaluation texts need: the probabilities of their n-grams."""
+    parts, models = _components(spark, sf_dir)
+    fs = I.count_merging_features([C.keyed(C.effective_counts(c, ORDER)) for c in parts])
+    needed = checkpoint(_needed(spark, sf_dir))
+    m = I.interpolate(models, ORDER, I.default_mixture(2, ORDER, fs), I.NO_COUNT, needed)
+    return _model(m).join(needed, ["ord", "ngram"], "left_semi")
+
+
+def masked_vocab_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity where only words of at least four characters are in the vocabulary."""
+    m = _masked(spark, sf_dir)
+    words = m.where("ord = 1").select(F.col("ngram").alias("word")).where(F.length("word") >= 4)
+    return _perplexity(E.perplexity(_items(spark, sf_dir), m, ORDER, ["item_id"], vocab=words))
 
 
 def li_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +173,9 @@ def gli_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interp_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _perplexity(E.perplexity(_items(spark, sf_dir), checkpoint(_li(spark, sf_dir)), ORDER, ["item_id"]))
+    """Perplexity by the linear interpolation, of which only the needed rows are mixed."""
+    m = checkpoint(_li(spark, sf_dir, _needed(spark, sf_dir)))
+    return _perplexity(E.perplexity(_items(spark, sf_dir), m, ORDER, ["item_id"]))
 
 
 def loaded_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     made = (
         doc_freq, doc_entropy, eval_match_orders, eval_scores, perplexity, closed_perplexity, lm_merge_keys, lm_refill,
-        li_model, cm_model, gli_model, interp_perplexity, loaded_merge,
+        li_model, cm_model, gli_model, interp_perplexity, loaded_merge, realigned_model, masked_cm_model, masked_vocab_perplexity,
     )
     return out | {f.__name__: f for f in made}
 
@@ -176,12 +211,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- SQL ---------------------------------------------------------------------------------------------------------------
 
 
-def matching(model: str = "lm", order: int = ORDER) -> str:
+def matching(model: str = "lm", order: int = ORDER, vocab: str = "ord = 1") -> str:
     """CTEs ctx(ctx, ngram, cnt), hit(ctx, ngram, cnt, ord, prob, ln_bow) and oov over the evaluation texts."""
     return f"""it AS ({ITEMS}), pos AS (
     SELECT item_id, line_no, i - 1 AS i, w[i] AS word, w[greatest(i - {order - 1}, 1):i] AS l
     FROM (SELECT item_id, line_no, w, unnest(range(2, len(w) + 1)) AS i FROM it)),
-  known AS (SELECT pos.*, u.ngram IS NULL AS oov FROM pos LEFT JOIN (SELECT ngram FROM {model} WHERE ord = 1) u ON u.ngram = pos.word),
+  known AS (SELECT pos.*, u.ngram IS NULL AS oov FROM pos LEFT JOIN (SELECT ngram FROM {model} WHERE {vocab} AND ord = 1) u ON u.ngram = pos.word),
   len AS (SELECT *, least({order}, i - coalesce(max(CASE WHEN oov THEN i END) OVER (
       PARTITION BY item_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS ctx FROM known),
   oov AS (SELECT * FROM len WHERE oov),
@@ -292,6 +327,14 @@ def oracle_sql() -> dict[str, str]:
     out["cm_model"] = f"{base}, {_TOTALS}, {mixed(cm, _JOIN)} {MODEL}"
     gli = ["0.7 * ln(1.0 + coalesce(ta.t, 0))", "{o} * 0.1 + 0.5 * ln(1.0 + coalesce(tb.t, 0))"]
     out["gli_model"] = f"{base}, {_TOTALS}, {mixed(gli, _JOIN)} {MODEL}"
+    keys = "keys AS (SELECT ord, ngram FROM ac UNION SELECT ord, ngram FROM bc)"
+    tok = Q.tokens(where="coalesce(lang, '') = 'en'"), Q.tokens(where="coalesce(lang, '') <> 'en'")
+    realigned = f"""{Q.counts(ORDER, 'ac', tok[0], 'a')}, {Q.counts(ORDER, 'bc', tok[1], 'b')}, {keys},
+      c AS (SELECT *, {Q.KEYS} FROM (SELECT k.ord, k.ngram, coalesce(x.cnt, 0) AS cnt FROM keys k LEFT JOIN ac x USING (ord, ngram)))"""
+    out["realigned_model"] = f"{_kn(counts=realigned)} {MODEL}"
+    out["masked_cm_model"] = f"""{base}, {_TOTALS}, {mixed(cm, _JOIN)}, {Q.counts(ORDER, "need", ITEMS, "n")}
+      SELECT m.* FROM ({MODEL}) m SEMI JOIN need USING (ord, ngram)"""
+    out["masked_vocab_perplexity"] = f"{_kn()}, {matching(vocab='length(ngram) >= 4')} {PERPLEXITY}"
     out["loaded_merge"] = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY model_id, ord, ngram
         ORDER BY coalesce(loaded_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') DESC, entry_id DESC) AS r FROM lm_entries)
       SELECT ord, ngram, count(*) AS n_models, round(avg(prob), 12) + 0.0 AS prob FROM l WHERE r = 1 GROUP BY ord, ngram"""

@@ -63,8 +63,11 @@ def _lattice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = checkpoint(S.kneser_ney(_lattice_counts(spark, sf_dir), LATTICE_ORDER, 3))
-    return L.rescore(checkpoint(lattice_arcs(spark, sf_dir)), m, LATTICE_ORDER)
+    """The lattices rescored by the rows of the model that they need."""
+    arcs = checkpoint(lattice_arcs(spark, sf_dir))
+    needed = checkpoint(L.needed_ngrams(arcs, LATTICE_ORDER))
+    m = checkpoint(S.kneser_ney(_lattice_counts(spark, sf_dir), LATTICE_ORDER, 3, needed=needed))
+    return L.rescore(arcs, m, LATTICE_ORDER)
 
 
 def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +138,7 @@ def tuned_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, models = _components(spark, sf_dir)
     dev = T.token_rows(table(spark, sf_dir, "eval_items").where("purpose = 'opt-perp'"), ["item_id"])
-    s = tune.mixture_statistics(models, dev, ORDER, ["item_id"])
+    s = tune.mixture_statistics(models, tune.mixture_contexts(models, dev, ORDER, ["item_id"]), ORDER)
     return _result(spark, "LBFGS", s.tune("LBFGS"), s.entropy([0.0]))
 
 

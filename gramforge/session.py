@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; where that is unset, as in local tests, one of our own is set."""
@@ -29,6 +35,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_once(*makes: Callable[[], T]) -> list[T]:
+    """Results of independent functions that run Spark jobs, made at the same time: small stages of one fill the cores that
+    another leaves free."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makes]]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as the session has cores.
 

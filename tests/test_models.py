@@ -81,7 +81,7 @@ def test_hot_histories_and_suffixes(counts, monkeypatch):
     from gramforge.operators import skew
 
     plain = {r.ngram: (r.prob, r.bow) for r in S.kneser_ney(counts, ORDER).collect()}
-    monkeypatch.setattr(skew.skew_join, "__defaults__", ("left", 1e-9, 3, None))
+    monkeypatch.setattr(skew.skew_join, "__defaults__", ("left", 1e-9, 3, None, None))
     salted = {r.ngram: (r.prob, r.bow) for r in S.kneser_ney(counts, ORDER).collect()}
     assert plain == salted
 
@@ -287,13 +287,97 @@ def test_smoothing_by_order(counts):
 def test_tuned_mixture_is_no_worse(spark, counts, other):
     models = [checkpoint(S.kneser_ney(c, ORDER)) for c in (counts, other)]
     dev = _tokens(spark, _texts(6, "abcdefghij", 10))
-    s = tune.mixture_statistics(models, dev, ORDER, ["doc_id"])
+    s = tune.mixture_statistics(models, tune.mixture_contexts(models, dev, ORDER, ["doc_id"]), ORDER)
     for b in (0.0, 0.8):
         m = checkpoint(I.interpolate(models, ORDER, I.Mixture([[b]], [], [[], []])))
         assert s.entropy([b]) == pytest.approx(E.perplexity(dev, m, ORDER, ["doc_id"]).first().entropy, abs=1e-9)
     assert s.tune("LBFGS").value <= s.entropy([0.0]) + 1e-12
 
 
+@pytest.mark.parametrize("kind", ["cm", "gli", "tied"])
+def test_statistics_of_any_mixture(spark, counts, other, kind):
+    """Entropies from compact statistics are those of the whole interpolated model."""
+    models = [checkpoint(S.kneser_ney(c, ORDER)) for c in (counts, other)]
+    fs = I.count_merging_features([C.keyed(C.effective_counts(c, ORDER)) for c in (counts, other)])
+    mixture, absent = {
+        "cm": (I.default_mixture(2, ORDER, fs, tie_order=False), I.NO_COUNT),
+        "gli": (I.Mixture([[0.1], [0.5], [-0.5]], [[[0.5], [0.25]]], fs, tuned_coefficients=True), 0.0),
+        "tied": (I.Mixture([[0.1]], [[[0.5], [0.5]]], fs, tuned_coefficients=True, tie_models=True), 0.0),
+    }[kind]
+    dev = _tokens(spark, _texts(6, "abcdefghij", 10))
+    s = tune.mixture_statistics(models, tune.mixture_contexts(models, dev, ORDER, ["doc_id"]), ORDER, mixture, absent)
+    other_params = [x + 0.3 for x in mixture.params()]
+    for params in (mixture.params(), other_params):
+        m = checkpoint(I.interpolate(models, ORDER, mixture.with_params(params), absent))
+        assert s.entropy(params) == pytest.approx(E.perplexity(dev, m, ORDER, ["doc_id"]).first().entropy, abs=1e-9)
+    assert s.tune("LBFGS").value <= s.entropy(mixture.params()) + 1e-12
+
+
+def test_discounts_by_order_are_tuned(spark, counts):
+    dev = _tokens(spark, _texts(5, "abcdefgh", 10))
+    looked = tune.held_out_contexts(counts, dev, ORDER, ["doc_id"])
+    s = tune.kneser_ney_statistics(counts, looked, ORDER, [1, 3, 2])
+    plain = checkpoint(S.kneser_ney(counts, ORDER, [1, 3, 2]))
+    assert len(s.default) == 6
+    assert s.entropy(s.default) == pytest.approx(E.perplexity(dev, plain, ORDER, ["doc_id"]).first().entropy, abs=1e-9)
+    best = tune.tune_perplexity(s, "Powell")
+    given = {1: best.x[:1].tolist(), 2: best.x[1:4].tolist(), 3: best.x[4:].tolist()}
+    m = checkpoint(S.kneser_ney(counts, ORDER, [1, 3, 2], given=given))
+    assert E.perplexity(dev, m, ORDER, ["doc_id"]).first().entropy == pytest.approx(best.value, abs=1e-9)
+
+
+def test_realigned_counts_are_smoothed_as_refilled(counts, other):
+    """Over the merged n-grams, smoothing again gives what filling from back-off gives."""
+    models = [checkpoint(S.kneser_ney(c, ORDER)) for c in (counts, other)]
+    keys = checkpoint(M.merged_keys(models))
+    again = {(r.ord, r.ngram): r.prob for r in S.kneser_ney(checkpoint(M.realign(counts, keys)), ORDER).collect()}
+    filled = {(o, r.ngram): r.p[0] for o, rows in M.refill(checkpoint(M.stacked(models)), ORDER).items() for r in rows.collect()}
+    assert again.keys() == filled.keys() and all(again[k] == pytest.approx(filled[k], abs=1e-12) for k in again)
+
+
+def test_vocabulary_of_an_evaluation(spark, counts):
+    model = checkpoint(S.kneser_ney(counts, ORDER))
+    tokens = _tokens(spark, ["a b a c", "b b"])
+    vocab = spark.createDataFrame([("a",), ("</s>",), ("zz",)], "word string")
+    whole = E.perplexity(tokens, model, ORDER, ["doc_id"]).first()
+    part = E.perplexity(tokens, model, ORDER, ["doc_id"], vocab=vocab).first()
+    assert (whole.n_oov, part.n_oov) == (0, 4) and part.n_words == whole.n_words - 4
+
+
+def test_weighted_and_masked_model(spark, counts):
+    f = checkpoint(C.effective_counts(counts, ORDER).selectExpr("ord", "ngram", "array(ln(1 + eff)) as f"))
+    needed = spark.createDataFrame([(3, "a b c"), (2, "b a"), (1, "d")], "ord int, ngram string")
+    whole = {(r.ord, r.ngram): r.prob for r in S.kneser_ney(counts, ORDER, 3, features=f, weights=[0.3]).collect()}
+    part = {(r.ord, r.ngram): r.prob for r in S.kneser_ney(counts, ORDER, 3, features=f, weights=[0.3], needed=needed).collect()}
+    assert part.items() <= whole.items() and (1, "d") in part and len(part) < len(whole)
+
+
+def test_masked_mixture(spark, counts, other):
+    models = [checkpoint(S.kneser_ney(c, ORDER)) for c in (counts, other)]
+    mixture = I.default_mixture(2, ORDER, I.count_merging_features([C.keyed(C.effective_counts(c, ORDER)) for c in (counts, other)]))
+    whole = {(r.ord, r.ngram): (r.prob, r.bow) for r in I.interpolate(models, ORDER, mixture, I.NO_COUNT).collect()}
+    needed = C.count_ngrams(_tokens(spark, ["a b c a"]), ORDER).select("ord", "ngram")
+    part = {(r.ord, r.ngram): (r.prob, r.bow) for r in I.interpolate(models, ORDER, mixture, I.NO_COUNT, needed).collect()}
+    keys = {(r.ord, r.ngram) for r in needed.collect()} & whole.keys()
+    assert keys <= part.keys()
+    for k in keys:
+        assert part[k][0] == pytest.approx(whole[k][0], abs=1e-12)
+        if part[k][1] is not None:
+            assert part[k][1] == pytest.approx(whole[k][1], abs=1e-9)
+
+
+def test_marks_without_broadcast(spark, monkeypatch):
+    """Members that are too many to be broadcast are joined with salts."""
+    from gramforge.operators import skew
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"w{i}") for i in range(300)] + [(300, None)], "i int, w string")
+    members = checkpoint(spark.createDataFrame([("hot",), ("w3",), ("other",)], "w string"))
+    want = {(r.i, r.w, r.m) for r in skew.mark(rows, members, "w", "m", ["i"]).collect()}
+    monkeypatch.setattr(skew, "MAX_BROADCAST", 0)
+    assert {(r.i, r.w, r.m) for r in skew.mark(rows, members, "w", "m", ["i"]).collect()} == want
+    assert sum(m for *_, m in want) == 201 and (300, None, False) in want
+
+
 # -- features ----------------------------------------------------------------------------------------------------------
 
 
