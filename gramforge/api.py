@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import os
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from .operators import tune
 from .session import checkpoint
 from .sources import files
 
+log = logging.getLogger("gramforge")
+
 
 @dataclass
 class Estimated:
@@ -53,24 +57,34 @@ class Estimated:
             elif "ML_COMPAT" in kinds:
                 raise ValueError("ML_COMPAT can't be mixed with other smoothings")
             else:
-                given, weights = None, self.weights
-                if self.params is not None:
-                    n = self.order * self.discounts
-                    d = np.asarray(self.params[:n], float).reshape(self.order, self.discounts)
-                    given = {o + 1: d[o].tolist() for o in range(self.order)}
-                    weights = list(self.params[n:]) or weights
-                numbers = [s.discounts for s in self.smoothings]
-                m = S.kneser_ney(self.counts, self.order, numbers, self.closed, given, self.feature_table(), weights or None)
+                m = self._smoothed(self.counts)
             self._model = checkpoint(m)
         return self._model
 
+    def _smoothed(self, counts: DataFrame, needed: DataFrame | None = None) -> DataFrame:
+        given, weights = None, self.weights
+        if self.params is not None:
+            given, at = {}, 0
+            for o, k in enumerate(self.discounts, 1):
+                given[o] = [float(x) for x in self.params[at : at + k]]
+                at += k
+            weights = [float(x) for x in self.params[at:]] or weights
+        return S.kneser_ney(counts, self.order, self.discounts, self.closed, given, self.feature_table(), weights or None, needed)
+
+    def realigned(self, keys: DataFrame) -> DataFrame:
+        """The model smoothed again over other n-grams, with the present parameters: a component of a mixture."""
+        return checkpoint(self._smoothed(checkpoint(M.realign(self.counts, keys))))
+
+    @property
+    def discounts(self) -> list[int]:
+        """Number of discounts of each order."""
+        if any(s.kind == "ML_COMPAT" for s in self.smoothings) or not any(s.discounts for s in self.smoothings):
+            raise ValueError("parameters need Kneser-Ney smoothing")
+        return [s.discounts for s in self.smoothings]
+
     @property
-    def discounts(self) -> int:
-        """Number of tunable discounts, the same for all orders."""
-        numbers = {s.discounts for s in self.smoothings}
-        if len(numbers) > 1 or 0 in numbers:
-            raise ValueError("parameters need Kneser-Ney smoothing with one number of discounts for all orders")
-        return numbers.pop()
+    def n_params(self) -> int:
+        return sum(self.discounts) + len(self.features)
 
     def effective(self) -> DataFrame:
         return C.effective_counts(self.counts, self.order)
@@ -79,21 +93,62 @@ class Estimated:
         self.params, self._model = np.asarray(params, float), None
 
     def tune_perplexity(self, tokens: DataFrame, technique: str) -> tune.Minimum:
-        looked = tune.held_out_contexts(self.counts, tokens, self.order, [])
-        if self.features:
-            s = tune.weighted_statistics(self.counts, looked, self.order, self.discounts, self.feature_table(), len(self.features), self.closed)
-        else:
-            s = tune.kneser_ney_statistics(self.counts, looked, self.order, self.discounts, self.closed)
-        best = tune.tune_perplexity(s, technique)
+        try:
+            looked = tune.held_out_contexts(self.counts, tokens, self.order, [])
+            if self.features:
+                s = tune.weighted_statistics(self.counts, looked, self.order, self.discounts, self.feature_table(), len(self.features), self.closed)
+            else:
+                s = tune.kneser_ney_statistics(self.counts, looked, self.order, self.discounts, self.closed)
+            best = tune.tune_perplexity(s, technique)
+        except tune.TooMany:
+            best = self._by_jobs(technique, *_job_entropy(tokens, self.order))
         self.with_params(best.x)
         return best
 
     def tune_lattices(self, arcs: DataFrame, refs: DataFrame, what: str, technique: str) -> tune.Minimum:
-        o = tune.LatticeObjective(self.counts, arcs, refs, self.order, self.discounts)
-        best = o.tune(what, technique)
+        """what: wer or margin."""
+        try:
+            o = tune.LatticeObjective(self.counts, arcs, refs, self.order, self.discounts)
+            best = o.tune(what, technique)
+        except tune.TooMany:
+            best = self._by_jobs(technique, *_job_lattices(arcs, refs, self.order, what))
         self.with_params(best.x)
         return best
 
+    def _by_jobs(self, technique: str, needed: DataFrame, value: Callable[[DataFrame], float]) -> tune.Minimum:
+        """Tuning on a set too large for the driver: each evaluation is a job over the needed rows."""
+        eff = checkpoint(self.effective())
+        d = {r["ord"]: r["d"] for r in S.discounts(eff, max(1, *self.discounts)).collect()}
+        start = [x for o, k in enumerate(self.discounts, 1) for x in d[o][:k]] + [0.0] * len(self.features)
+
+        def cost(x: np.ndarray) -> float:
+            if tune.expand(x[: sum(self.discounts)], self.discounts) is None:
+                return float("inf")
+            self.with_params(x)
+            return value(checkpoint(self._smoothed(self.counts, needed)))
+
+        return tune.minimise(technique, cost, np.array(start))
+
+
+def _job_entropy(tokens: DataFrame, order: int) -> tuple[DataFrame, Callable[[DataFrame], float]]:
+    tokens = checkpoint(tokens)
+
+    def value(model: DataFrame) -> float:
+        entropy = E.perplexity(tokens, model, order, []).first()["entropy"]
+        return float("inf") if entropy is None else entropy
+
+    return checkpoint(C.count_ngrams(tokens, order).select("ord", "ngram")), value
+
+
+def _job_lattices(arcs: DataFrame, refs: DataFrame, order: int, what: str) -> tuple[DataFrame, Callable[[DataFrame], float]]:
+    arcs = checkpoint(arcs)
+
+    def value(model: DataFrame) -> float:
+        got = L.word_error_rate(L.utterances(L.rescore(arcs, model, order), refs)).first()[what]
+        return float("inf") if got is None else {"wer": got, "margin": -got}[what]
+
+    return checkpoint(L.needed_ngrams(arcs, order)), value
+
 
 def load_counts(
     spark: SparkSession,
@@ -137,7 +192,11 @@ def load_feature(spark: SparkSession, text: str, order: int, corpus: str | None)
             return files.hmm_lda(spark, source)
         return files.features(spark, source)
 
-    return X.feature(text, order, load, corpus)
+    made = X.feature(text, order, load, corpus)
+    most = made.agg(F.max("value")).first()[0]
+    if most is not None and most > X.WARN_ABOVE:
+        log.warning("feature %s has values up to %g; above %g weights may overflow", text, most, X.WARN_ABOVE)
+    return made
 
 
 def estimate(
@@ -165,7 +224,7 @@ class Mixed:
     models: list[DataFrame]
     mixture: I.Mixture
     absent: float
-    kind: str
+    components: list[Estimated | None] = field(default_factory=list)  # what can be smoothed again
     _model: DataFrame | None = None
 
     def model(self) -> DataFrame:
@@ -173,55 +232,58 @@ class Mixed:
             self._model = checkpoint(I.interpolate(self.models, self.order, self.mixture, self.absent))
         return self._model
 
-    tie_models: bool = False
-
     def with_params(self, params: list[float]) -> None:
-        """Biases of all models but the first, row by row, then (GLI) the coefficients, row by row and model by model."""
-        params = [float(x) for x in params]
-        if len(params) != len(self.params()):
-            raise ValueError(f"expected {len(self.params())} parameters")
-        n = len(self.models) - 1
-        rows = len(self.mixture.biases)
-        self.mixture.biases = [params[i * n : (i + 1) * n] for i in range(rows)]
-        rest = iter(params[rows * n :])
-        if self.kind == "GLI":
-            for row in self.mixture.coefficients:
-                first = [next(rest) for _ in row[0]]
-                for i in range(len(row)):
-                    row[i] = list(first) if i == 0 or self.tie_models else [next(rest) for _ in row[i]]
-        self._model = None
+        self.mixture, self._model = self.mixture.with_params([float(x) for x in params]), None
 
     def params(self) -> list[float]:
-        out = [x for row in self.mixture.biases for x in row]
-        if self.kind == "GLI":
-            out += [x for row in self.mixture.coefficients for c in (row[:1] if self.tie_models else row) for x in c]
-        return out
+        return self.mixture.params()
+
+    def smooth_again(self, params: list[np.ndarray | None]) -> None:
+        """Components of counts with other discounts and feature weights, smoothed again over the n-grams of all models; null
+        leaves a component as it is."""
+        keys = checkpoint(M.merged_keys(self.models))
+        for i, (c, p) in enumerate(zip(self.components, params, strict=True)):
+            if p is None:
+                continue
+            if c is None:
+                raise ValueError("a loaded model can't be smoothed again")
+            c.with_params(p)
+            self.models[i] = c.realigned(keys)
+        self._model = None
+
+    def tune_components(self, tokens: DataFrame, technique: str) -> None:
+        """Discounts of each component of counts, tuned on its own, then all are smoothed again."""
+        made = [None if c is None else c.tune_perplexity(tokens, technique).x for c in self.components]
+        self.smooth_again(made)
 
     def tune_perplexity(self, tokens: DataFrame, technique: str) -> tune.Minimum:
-        if self.kind == "LI" and len(self.mixture.biases) == 1:
-            best = tune.mixture_statistics(self.models, tokens, self.order, []).tune(technique)
-        else:
-            def entropy(x: np.ndarray) -> float:
-                self.with_params(x.tolist())
-                value = E.perplexity(tokens, self.model(), self.order, []).first()["entropy"]
-                return float("inf") if value is None else value
-
-            best = tune.minimise(technique, entropy, np.array(self.params()))
+        """On compact statistics, for every kind of interpolation."""
+        try:
+            looked = tune.mixture_contexts(self.models, tokens, self.order, [])
+            best = tune.mixture_statistics(self.models, looked, self.order, self.mixture, self.absent).tune(technique)
+        except tune.TooMany:
+            best = self._by_jobs(technique, *_job_entropy(tokens, self.order))
         self.with_params(best.x.tolist())
         return best
 
     def tune_lattices(self, arcs: DataFrame, refs: DataFrame, what: str, technique: str) -> tune.Minimum:
-        """what: wer or margin.  One interpolation and rescoring for each evaluation."""
-        arcs = checkpoint(arcs)
+        """what: wer or margin."""
+        try:
+            arcs = checkpoint(arcs)
+            best = tune.mixture_lattices(self.models, arcs, refs, self.order, self.mixture, self.absent).tune(what, technique)
+        except tune.TooMany:
+            best = self._by_jobs(technique, *_job_lattices(arcs, refs, self.order, what))
+        self.with_params(best.x.tolist())
+        return best
+
+    def _by_jobs(self, technique: str, needed: DataFrame, value: Callable[[DataFrame], float]) -> tune.Minimum:
+        """Tuning on a set too large for the driver: each evaluation mixes the needed rows."""
 
         def cost(x: np.ndarray) -> float:
-            self.with_params(x.tolist())
-            value = L.word_error_rate(L.utterances(L.rescore(arcs, self.model(), self.order), refs)).first()[what]
-            return float("inf") if value is None else {"wer": value, "margin": -value}[what]
+            m = I.interpolate(self.models, self.order, self.mixture.with_params(x.tolist()), self.absent, needed)
+            return value(checkpoint(m))
 
-        best = tune.minimise(technique, cost, np.array(self.params()))
-        self.with_params(best.x.tolist())
-        return best
+        return tune.minimise(technique, cost, np.array(self.params()))
 
 
 def interpolate(
@@ -235,21 +297,31 @@ def interpolate(
     features: list[str] | None = None,
     tie_order: bool = True,
     tie_models: bool = False,
+    vocab: str | None = None,
+    unknown: bool = False,
+    weight_features: list[str] | None = None,
 ) -> Mixed:
-    """Models of ARPA or binary files, and models estimated from texts or counts, interpolated."""
+    """Models of ARPA or binary files, and models estimated from texts or counts, interpolated.
+
+    vocab, unknown, smoothing and weight_features are for the estimated ones; of the last two, the last value holds for all
+    further models."""
     if bool(text) and bool(counts):
         raise ValueError("give texts or counts, not both")
     parts: list[DataFrame] = []
     eff: list[DataFrame | None] = []
-    names = smoothing or ["ModKN"]
+    names, weighting = smoothing or ["ModKN"], weight_features or [None]
     sources = [("text", x) for x in text or []] + [("counts", x) for x in counts or []]
+    made: list[Estimated | None] = []
     for i, (kind, name) in enumerate(sources):
-        e = estimate(spark, order, **{kind: name}, smoothing=names[min(i, len(names) - 1)])
+        own = {"smoothing": names[min(i, len(names) - 1)], "weight_features": weighting[min(i, len(weighting) - 1)]}
+        e = estimate(spark, order, **{kind: name}, vocab=vocab, unknown=unknown, **own)
         parts.append(e.model())
         eff.append(C.keyed(e.effective()))
+        made.append(e)
     for name in models or []:
         parts.append(checkpoint(files.read_model(spark, name, order)))
         eff.append(None)
+        made.append(None)
     if len(parts) < 2:
         raise ValueError("give two models or more")
     absent, fs = 0.0, None
@@ -265,7 +337,8 @@ def interpolate(
         absent = I.NO_COUNT if interpolation == "CM" else 0.0
     elif interpolation != "LI":
         raise ValueError(f"unknown interpolation {interpolation}")
-    return Mixed(order, parts, I.default_mixture(len(parts), order, fs, tie_order), absent, interpolation, tie_models=tie_models)
+    mixture = replace(I.default_mixture(len(parts), order, fs, tie_order), tuned_coefficients=interpolation == "GLI", tie_models=tie_models)
+    return Mixed(order, parts, mixture, absent, made)
 
 
 def perplexity(spark: SparkSession, model: DataFrame, order: int, name: str) -> float:

@@ -65,7 +65,10 @@ INTERPOLATE = Options("interpolate", [
     Option("lm", "l", "models"),
     Option("text", "t", "texts, one model of each"),
     Option("counts", "c", "counts files, one model of each"),
+    Option("vocab", "v", "vocabulary file: only its words count"),
+    Option("unk", "u", "read other words as <unk>", "false"),
     Option("smoothing", "s", "smoothing of each model, separated by ;", "ModKN"),
+    Option("weight-features", "wf", "features that weigh n-grams, of each model, separated by ;"),
     Option("interpolation", "i", "LI, CM or GLI", "LI"),
     Option("interpolation-features", "if", "features of each model, separated by ;"),
     Option("tie-param-order", "tpo", "one set of parameters for all orders", "true"),
@@ -81,7 +84,8 @@ INTERPOLATE = Options("interpolate", [
 
 def _session() -> SparkSession:
     active = SparkSession.getActiveSession()
-    return active or SparkSession.builder.appName("gramforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("gramforge").config("spark.sql.session.timeZone", "UTC")
+    return active or builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
 
 
 def _evaluations(spark: SparkSession, model, order: int, o: dict) -> None:
@@ -97,7 +101,7 @@ def estimate(o: dict) -> None:
     smoothing_list(o["smoothing"], order)
     e = api.estimate(spark, order, o["text"], o["counts"], o["vocab"], truth(o["unk"]), o["smoothing"], o["weight-features"])
     if o["params"]:
-        e.with_params(files.read_params(o["params"], order * e.discounts + len(e.features)))
+        e.with_params(files.read_params(o["params"], e.n_params))
     if o["opt-perp"]:
         best = e.tune_perplexity(files.corpus(spark, o["opt-perp"]), o["opt-alg"])
         log.info("entropy %f after %d evaluations", best.value, best.evaluations)
@@ -146,7 +150,7 @@ def interpolate(o: dict) -> None:
     m = api.interpolate(
         spark, order, split_list(o["lm"] or ""), split_list(o["text"] or ""), split_list(o["counts"] or ""),
         split_list(o["smoothing"], ";"), o["interpolation"], split_list(o["interpolation-features"] or "", ";"),
-        truth(o["tie-param-order"]), truth(o["tie-param-lm"]),
+        truth(o["tie-param-order"]), truth(o["tie-param-lm"]), o["vocab"], truth(o["unk"]), split_list(o["weight-features"] or "", ";"),
     )
     if o["params"]:
         m.with_params(files.read_params(o["params"], len(m.params())))

@@ -193,9 +193,14 @@ def test_command_line(spark, folder, capsys):
     assert [x.split("\t")[0] for x in out] == ["perplexity", "margin", "wer"]
     assert "ngram 3" not in (folder / "cut.lm").read_text() and "\na\n" in (folder / "cut.v").read_text()
     for kind in ("LI", "CM"):
-        tuned = ["-op", folder / "b.txt", "-oa", "Powell"] if kind == "LI" else []  # CM is tuned by whole jobs, too slow for a test
+        tuned = ["-op", folder / "b.txt", "-oa", "Powell", "-tpo", "f"]
         run("interpolate", "-t", f"{folder}/a.txt,{folder}/b.txt", "-i", kind, "-ep", folder / "b.txt", "-wl", folder / f"{kind}.lm", *tuned)
         assert capsys.readouterr().out.startswith("perplexity")
+    for what in ("-om", "-ow"):
+        run("interpolate", "-t", f"{folder}/a.txt,{folder}/b.txt", "-o", 2, what, folder / "lattices", "-wp", folder / "tuned", "-oa", "Powell")
+        assert len(files.read_params(f"{folder}/tuned")) == 1
+    run("interpolate", "-o", 2, "-t", f"{folder}/a.txt,{folder}/b.txt", "-v", folder / "v.txt", "-u", "-wf", f"log1p:freq:{folder}/docs", "-wl", folder / "unk.lm")
+    assert "<unk>" in (folder / "unk.lm").read_text()
     run("interpolate", "-l", f"{folder}/a.lm,{folder}/b.lm", "-op", folder / "b.txt", "-wp", folder / "q")
     assert len(files.read_params(f"{folder}/q")) == 1
     run("estimate", "-o", 2, "-t", folder / "a.txt", "-v", folder / "v.txt", "-u", "-s", "ML", "-wl", folder / "ml.lm")
@@ -250,3 +255,25 @@ def test_stream(spark, folder):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("running"), "ngram", "cnt") == rows(want.where("ord = 1"), "ngram", "cnt")
+
+
+def test_components_smoothed_again(spark, folder):
+    """Tuned components are smoothed again over the mixture's n-grams; large tuning sets are evaluated by jobs."""
+    from gramforge.operators import tune
+
+    m = api.interpolate(spark, 2, text=[f"{folder}/a.txt", f"{folder}/b.txt"], smoothing=["FixKN"])
+    dev = files.corpus(spark, f"{folder}/b.txt")
+    plain = {r.ngram: r.prob for r in m.model().collect()}
+    m.smooth_again([np.array([0.9, 0.9]), None])
+    assert m.model().count() == len(plain) and any(abs(r.prob - plain[r.ngram]) > 1e-6 for r in m.model().collect())
+    m.tune_components(dev, "LBFGS")
+    near = m.tune_perplexity(dev, "LBFGS").value
+    most, tune.MAX_CONTEXTS = tune.MAX_CONTEXTS, 2
+    try:
+        m.with_params([0.0])
+        assert m.tune_perplexity(dev, "LBFGS").value == pytest.approx(near, abs=1e-4)
+        e = api.estimate(spark, 2, f"{folder}/a.txt", smoothing="KN")
+        far = e.tune_perplexity(dev, "LBFGS").value
+    finally:
+        tune.MAX_CONTEXTS = most
+    assert api.estimate(spark, 2, f"{folder}/a.txt", smoothing="KN").tune_perplexity(dev, "LBFGS").value == pytest.approx(far, abs=1e-4)
