@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import shutil
 import zipfile
 from collections.abc import Iterator
@@ -236,6 +237,11 @@ def is_table(name: str) -> bool:
 # -- sinks -------------------------------------------------------------------------------------------------------------
 
 
+def has_scheme(name: str) -> bool:
+    """Whether a path names its file system, so that it isn't for local calls."""
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", name) is not None
+
+
 _CODECS = {".gz": "gzip", ".bz2": "bzip2"}
 
 
@@ -246,7 +252,7 @@ def write_lines(rows: DataFrame, name: str, sort: list[Column] | None = None, si
     A name that ends with gz or bz2 is compressed by the tasks that write the parts: compressed files may follow each other
     in one file.  zip is for single local files."""
     ending = os.path.splitext(name)[1]
-    single = single and "://" not in name
+    single = single and not has_scheme(name)
     if ending == ".zip" and not single:
         raise ValueError("zip archives can only be written as single local files")
     rows = rows.orderBy(*sort) if sort else rows
@@ -345,13 +351,22 @@ def write_features(rows: DataFrame, name: str) -> None:
 
 
 def write_params(params: list[float], name: str) -> None:
+    """One JSON object; to a folder with one part where the path names its file system."""
+    text = json.dumps({"header": "Param", "values": [float(x) for x in params]})
+    if has_scheme(name):
+        rows = SparkSession.getActiveSession().createDataFrame([(text,)], "value string")
+        rows.coalesce(1).write.mode("overwrite").text(name)
+        return
     with open(name, "w") as f:
-        json.dump({"header": "Param", "values": [float(x) for x in params]}, f)
+        f.write(text)
 
 
 def read_params(name: str, length: int | None = None) -> list[float]:
-    with open(name) as f:
-        data = json.load(f)
+    if has_scheme(name):
+        data = json.loads(SparkSession.getActiveSession().read.text(name).first()[0])
+    else:
+        with open(name) as f:
+            data = json.load(f)
     if data.get("header") != "Param":
         raise ValueError("not a parameter file")
     if length is not None and len(data["values"]) != length:
@@ -383,9 +398,19 @@ def write_transcripts(u: DataFrame, name: str) -> None:
     write_lines(transcripts(u), name, sort=[F.col("tag")])
 
 
+def confidence_lines(u: DataFrame) -> DataFrame:
+    """(tag, value) of lines `tag<TAB>confidence`."""
+    return u.select("tag", F.format_string("%s\t%f", "tag", "confidence").alias("value"))
+
+
+def word_error_lines(u: DataFrame) -> DataFrame:
+    """(tag, value) of lines `tag<TAB>words<TAB>errors`."""
+    return u.select("tag", F.format_string("%s\t%d\t%d", "tag", "n_ref", "n_errors").alias("value"))
+
+
 def write_confidence(u: DataFrame, name: str) -> None:
-    write_lines(u.select("tag", F.format_string("%s\t%f", "tag", "confidence").alias("value")), name, sort=[F.col("tag")])
+    write_lines(confidence_lines(u), name, sort=[F.col("tag")])
 
 
 def write_word_errors(u: DataFrame, name: str) -> None:
-    write_lines(u.select("tag", F.format_string("%s\t%d\t%d", "tag", "n_ref", "n_errors").alias("value")), name, sort=[F.col("tag")])
+    write_lines(word_error_lines(u), name, sort=[F.col("tag")])
