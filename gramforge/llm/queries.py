@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import abuse, confusable, encode, leaks, lossy, packing, terms
+from .lookalikes import TO_LATIN, plain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +104,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusable.lookalike_pairs(_table(spark, sf_dir, "vocab"))
 
 
+def _look() -> str:
+    """SQL of a word's look: one width, blank, hyphen and composition, invisible characters gone, look-alikes as Latin."""
+    every = map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)])
+    changed = {c: plain(c) for c in every if plain(c) != unicodedata.normalize("NFC", c)}
+    gone = "".join(c for c, x in changed.items() if not x)
+    single = {c: x for c, x in changed.items() if len(x) == 1 and x != "'"}
+    sql = f"translate(word, '{''.join(single)}{gone}', '{''.join(single.values())}')"
+    for c, x in changed.items():
+        if len(x) > 1:
+            sql = f"replace({sql}, '{c}', '{x}')"
+    alike = {chr(k): v for k, v in TO_LATIN.items()}
+    for code in range(0xC0, 0x2000):  # accented letters of other scripts
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base in alike and len(x := unicodedata.normalize("NFC", alike[base] + "".join(marks))) == 1:
+            alike[chr(code)] = x
+    return f"nfc_normalize(translate(nfc_normalize(rtrim({sql}, ' ')), '{''.join(alike)}', '{''.join(alike.values())}'))"
+
+
+P5_FOUND = """
+WITH looks AS MATERIALIZED (SELECT word_id, word, {look} AS look FROM vocab WHERE word IS NOT NULL)
+SELECT a.word_id AS word_id_a, b.word_id AS word_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.word_id < b.word_id AND a.word <> b.word
+"""
+
 # -- 7: tokens ---------------------------------------------------------------------------------------------------------
 
 
@@ -153,6 +178,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": P1_TERMS,
         "p1_found": f"SELECT word, mark FROM ({P1_TERMS}) WHERE mark IS NOT NULL",
+        "p5_found": P5_FOUND.format(look=_look()),
         "p4_top": P4_TOP,
         "p4_found": f"SELECT ngram FROM ({P4_TOP})",
     }
