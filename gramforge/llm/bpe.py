@@ -11,6 +11,7 @@ Pieces longer than `LONG` bytes would make the matrices quadratic; they merge in
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 import re
@@ -31,15 +32,38 @@ _NONE = np.int32(1 << 30)
 _CACHE = 600_000
 
 
+class _Column:
+    """An array that grows at its end; its room doubles, so that growing costs no more than filling."""
+
+    def __init__(self, kind: type) -> None:
+        self._room, self._n = np.empty(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self._n
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._room[: self._n]
+
+    def extend(self, more: np.ndarray) -> None:
+        n = self._n + len(more)
+        if n > len(self._room):
+            room = np.empty(max(n, 2 * len(self._room)), self._room.dtype)
+            room[: self._n] = self.values
+            self._room = room
+        self._room[self._n : n] = more
+        self._n = n
+
+
 class Encoder:
     """One vocabulary.  `encode(texts)` gives flat ids and offsets, `count(texts)` the number of tokens of each text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
+        """data: content of a rank file."""
         self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                token, rank = line.split()
-                self.ranks[base64.b64decode(token)] = int(rank)
+        for line in data.splitlines():
+            token, rank = line.split()
+            self.ranks[base64.b64decode(token)] = int(rank)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self._hash_pairs()
         self.split = regex.compile(PATTERN).findall
@@ -182,19 +206,15 @@ class Encoder:
             values[(start[part][:, None] + np.arange(ids.shape[1]))[inside]] = ids[inside]
         for i, x in long_rows.items():
             values[start[i] : start[i + 1]] = x
-        self._starts.append(start[:-1] + self._used)
-        self._sizes.append(sizes)
-        self._values_of.append(values)
-        self._used += len(values)
+        self._starts.extend(start[:-1] + len(self._values_of))
+        self._sizes.extend(sizes)
+        self._values_of.extend(values)
 
     # -- texts ---------------------------------------------------------------------------------------------------------
 
     def _reset(self) -> None:
         self._code: dict[str, int] = {}
-        self._starts: list[np.ndarray] = []
-        self._sizes: list[np.ndarray] = []
-        self._values_of: list[np.ndarray] = []
-        self._used = 0
+        self._starts, self._sizes, self._values_of = _Column(np.int64), _Column(np.int64), _Column(np.int32)
 
     def _codes(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' numbers in the store, and the number of pieces of each text."""
@@ -214,15 +234,12 @@ class Encoder:
             codes += map(code.__getitem__, pieces)
         if new:
             self._encode_new(new)
-        if len(self._starts) > 1:
-            self._starts, self._sizes = [np.concatenate(self._starts)], [np.concatenate(self._sizes)]
-            self._values_of = [np.concatenate(self._values_of)]
         return np.array(codes, np.int64), counts
 
     def count(self, texts: Sequence[str | None]) -> np.ndarray:
         """Number of tokens of each text; 0 for null and empty texts."""
         codes, pieces = self._codes(texts)
-        total = np.concatenate([[0], np.cumsum(self._sizes[0][codes])]) if len(codes) else np.zeros(1, np.int64)
+        total = np.concatenate([[0], np.cumsum(self._sizes.values[codes])]) if len(codes) else np.zeros(1, np.int64)
         end = np.cumsum(pieces)
         return total[end] - total[end - pieces]
 
@@ -231,19 +248,32 @@ class Encoder:
         codes, pieces = self._codes(texts)
         if not len(codes):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        sizes, starts = self._sizes[0][codes], self._starts[0][codes]
+        sizes, starts = self._sizes.values[codes], self._starts.values[codes]
         total = np.concatenate([[0], np.cumsum(sizes)])
         index = np.arange(total[-1]) + np.repeat(starts - total[:-1], sizes)
         offsets = np.concatenate([[0], total[np.cumsum(pieces)]])
-        return self._values_of[0][index], offsets
+        return self._values_of.values[index], offsets
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def vocabulary(tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> tuple[str, bytes]:
+    """Digest and content of a rank file `<directory>/<tokenizer>.tiktoken`; its size is that of a vocabulary."""
+    with open(os.path.join(directory, tokenizer + ".tiktoken"), "rb") as f:
+        data = f.read()
+    return hashlib.sha256(data).hexdigest(), data
+
+
+def encoder_of(digest: str, data: bytes) -> Encoder:
+    """The encoder of a rank file's content, kept for the life of the Python worker."""
+    if digest not in _ENCODERS:
+        if hashlib.sha256(data).hexdigest() != digest:
+            raise ValueError("the vocabulary isn't the one that was sent")
+        _ENCODERS[digest] = Encoder(data)
+    return _ENCODERS[digest]
+
+
 def encoder(tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> Encoder:
-    """The encoder of a rank file `<directory>/<tokenizer>.tiktoken`, kept for the life of the Python worker."""
-    path = os.path.join(directory, tokenizer + ".tiktoken")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of a rank file on this machine."""
+    return encoder_of(*vocabulary(tokenizer, directory))

@@ -1,7 +1,8 @@
 """Problem 7: token ids of every document by a public tokenizer.
 
 Every document is encoded where its row is, in Arrow batches, without a shuffle.  A batch of long texts is worked off in
-slices of at most `SLICE` characters, so that memory follows the longest single text, not the batch.
+slices of at most `SLICE` characters, so that memory follows the longest single text, not the batch.  The driver reads the
+vocabulary file and sends it with its digest; no other machine needs it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .bpe import TOKENIZER_DIR, encoder
+from .bpe import TOKENIZER_DIR, encoder_of, vocabulary
 
 SLICE = 4_000_000
 
@@ -48,8 +49,10 @@ def encode_documents(
     picked = spread(docs.select(F.col(id_column), F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
 
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, directory))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer, directory)
+        bpe = encoder_of(*shared.value)
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices(texts):
@@ -71,8 +74,10 @@ def count_tokens(
     picked = spread(docs.select(F.col(id_column), F.col(text_column).alias("__text")))
     kind = picked.schema[0].dataType.simpleString()
 
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, directory))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer, directory)
+        bpe = encoder_of(*shared.value)
         for batch in batches:
             texts = batch.column(1)
             for a, b in slices(texts):
