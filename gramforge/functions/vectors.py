@@ -39,6 +39,12 @@ def mask_assign(mask: Column, new: Column, old: Column) -> Column:
     return condition(mask, new, old)
 
 
+def index_assign(rows: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with the value that `new` (one row per key) has for their key; others, and those with a null there, stay."""
+    own = new.select(key, F.col(value).alias("__new"))
+    return rows.join(own, key, "left").withColumn(value, F.coalesce("__new", F.col(value))).drop("__new")
+
+
 def bin_count(rows: DataFrame, key: str) -> DataFrame:
     """(key, n): rows of each key."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -178,6 +178,14 @@ def weighted_kn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(S.kneser_ney(c, ORDER, 3, features=f, weights=[0.3]))
 
 
+def weighted_masked_kn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, only the rows that the evaluation texts' n-grams need."""
+    c = checkpoint(counted(spark, sf_dir))
+    f = C.effective_counts(c, ORDER).select("ord", "ngram", F.array(F.log1p("eff")).alias("f"))
+    needed = C.count_ngrams(T.token_rows(table(spark, sf_dir, "eval_items"), ["item_id"]), ORDER).select("ord", "ngram")
+    return _model(S.kneser_ney(c, ORDER, 3, features=f, weights=[0.3], needed=needed))
+
+
 def ml_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(S.maximum_likelihood(counted(spark, sf_dir))).select("ord", "ngram", "log10prob")
 
@@ -206,7 +214,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         token_lines, vocab, closed_vocab_counts, unk_counts, oov_tokens, left_counts, right_counts, eff_counts,
         count_of_counts, history_totals, kn_discounts, table_counts, table_counts_closed, modkn_model, kn_model, kn5_model,
-        fixed_modkn_model, mixed_smoothing_model, closed_modkn_model, masked_modkn_model, weighted_kn_model, ml_probs, ml_probs_compat,
+        fixed_modkn_model, mixed_smoothing_model, closed_modkn_model, masked_modkn_model, weighted_kn_model, weighted_masked_kn_model,
+        ml_probs, ml_probs_compat,
         lm_truncate, table_modkn_model,
     )
     return out | {f.__name__: f for f in made}
@@ -254,6 +263,9 @@ def oracle_sql() -> dict[str, str]:
         out[f"modkn_probs_{o}"] = f"{_kn(o)} SELECT ngram, {Q.log10('prob')} AS log10prob FROM lm WHERE ord = {o}"
     given = ", ".join(f"({o}, {', '.join(f'{x}e0' for x in d)})" for o, d in GIVEN.items())
     fixed = f"d AS (SELECT * FROM (VALUES {given}) AS t(ord, d1, d2, d3))"
+    want = f"""{Q.counts(ORDER, "need", ITEMS, "n")}, want AS (
+            SELECT DISTINCT i AS ord, array_to_string(string_split(ngram, ' ')[ord - i + 1:ord], ' ') AS ngram
+            FROM (SELECT ord, ngram, unnest(range(1, ord + 1)) AS i FROM need))"""
     weighted = "e AS (SELECT *, exp(0.3 * ln(1 + eff)) AS wt FROM e0)"
     return out | {
         "token_lines": f"WITH tok AS ({Q.tokens()}) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(len(w) - 2 AS BIGINT) AS n_words FROM tok",
@@ -282,10 +294,9 @@ def oracle_sql() -> dict[str, str]:
         "mixed_smoothing_model": f"""WITH {c}, {e}, {Q.discounts(3, name="d0")}, d AS (SELECT ord, d1, CASE ord WHEN 1 THEN d1 ELSE d2 END AS d2,
           CASE ord WHEN 1 THEN d1 WHEN 2 THEN d3 ELSE d2 END AS d3 FROM d0), {Q.kneser_ney(ORDER, 3)} {MODEL}""",
         "closed_modkn_model": f"{_kn(counts=_closed(), closed=True)} {MODEL}",
-        "masked_modkn_model": f"""{_kn()}, {Q.counts(ORDER, "need", ITEMS, "n")}, want AS (
-            SELECT DISTINCT i AS ord, array_to_string(string_split(ngram, ' ')[ord - i + 1:ord], ' ') AS ngram
-            FROM (SELECT ord, ngram, unnest(range(1, ord + 1)) AS i FROM need))
-          {MODEL} SEMI JOIN want USING (ord, ngram)""",
+        "masked_modkn_model": f"{_kn()}, {want} {MODEL} SEMI JOIN want USING (ord, ngram)",
+        "weighted_masked_kn_model": f"""WITH {c}, {Q.effective(ORDER, name='e0')}, {weighted}, {Q.discounts(3)}, {Q.kneser_ney(ORDER, 3, weight='wt')},
+          {want} {MODEL} SEMI JOIN want USING (ord, ngram)""",
         "weighted_kn_model": f"WITH {c}, {Q.effective(ORDER, name='e0')}, {weighted}, {Q.discounts(3)}, {Q.kneser_ney(ORDER, 3, weight='wt')} {MODEL}",
         "ml_probs": f"WITH {c} SELECT ord, ngram, {Q.log10('cnt / CAST(sum(cnt) OVER (PARTITION BY ord, hist) AS DOUBLE)')} AS log10prob FROM c",
         "ml_probs_compat": f"WITH {c} SELECT ord, ngram, {Q.log10('cnt / CAST(count(*) OVER (PARTITION BY ord, hist) AS DOUBLE)')} AS log10prob FROM c",

@@ -335,6 +335,17 @@ def vector_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lookup(names, w, "corpus", "total", -1)
 
 
+def vector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each corpus."""
+    return V.bin_count(table(spark, sf_dir, "ngram_counts").where("corpus is not null"), "corpus")
+
+
+def vector_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpora's numbers of lines, with the numbers of their rows assigned where they have any."""
+    n = vector_counts(spark, sf_dir).withColumnRenamed("n", "n_lines")
+    return V.index_assign(table(spark, sf_dir, "corpora").select("corpus", "n_lines"), n, "corpus", "n_lines")
+
+
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n-gram counts of the documents read as a stream, kept per micro-batch and added up."""
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 8)
@@ -352,7 +363,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lattice_text_round_trip, lattice_table_round_trip, tuned_discounts, tuned_feature_weights, tuned_mixture,
         tuned_lattices, counts_table_round_trip, counts_text_round_trip, vocab_round_trip, model_table_round_trip,
         features_round_trip, params_round_trip, documents_round_trip, topics_round_trip, arpa_lines,
-        counts_lines, arpa_round_trip, vector_reductions, vector_bins, vector_weights, streamed_counts,
+        counts_lines, arpa_round_trip, vector_reductions, vector_bins, vector_weights, vector_counts,
+        vector_assigned, streamed_counts,
     )
     return {f.__name__: f for f in made}
 
@@ -530,5 +542,8 @@ def oracle_sql() -> dict[str, str]:
         "vector_bins": "SELECT cnt, count(*) AS n FROM ngram_counts WHERE cnt BETWEEN 0 AND 9 GROUP BY cnt",
         "vector_weights": """SELECT c.corpus, coalesce(CAST(t.total AS BIGINT), -1) AS total FROM corpora c LEFT JOIN (
           SELECT corpus, sum(CASE WHEN ord = 1 THEN cnt ELSE 0 END) AS total FROM ngram_counts WHERE corpus IS NOT NULL GROUP BY corpus) t USING (corpus)""",
+        "vector_counts": "SELECT corpus, count(*) AS n FROM ngram_counts WHERE corpus IS NOT NULL GROUP BY corpus",
+        "vector_assigned": """SELECT c.corpus, coalesce(t.n, c.n_lines) AS n_lines FROM corpora c
+          LEFT JOIN (SELECT corpus, count(*) AS n FROM ngram_counts WHERE corpus IS NOT NULL GROUP BY corpus) t USING (corpus)""",
         "streamed_counts": f"WITH {Q.counts(2)} SELECT ord, ngram, cnt FROM c",
     }
