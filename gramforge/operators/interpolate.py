@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .counts import keyed
-from .model import needed_keys, of_side, refill, stacked
-from .skew import heavy_sides, skew_join
+from .model import needed_keys, refill, stacked
+from .skew import heavy_sides, of_side, skew_join
 
 
 @dataclass

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .counts import keyed
-from .skew import heavy_sides, skew_join
+from .skew import heavy_sides, of_side, skew_join
 
 
 def truncate(model: DataFrame, order: int) -> DataFrame:
@@ -67,11 +67,6 @@ def refill(rows: DataFrame, order: int, heavy: DataFrame | None = None) -> dict[
     return out
 
 
-def of_side(heavy: DataFrame, order: int, side: str) -> DataFrame:
-    """The heavy keys of one order and side."""
-    return heavy.where((F.col("ord") == order) & (F.col("side") == side)).select(F.col("key").alias(side))
-
-
 def realign(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """counts over other keys (ord, ngram): missing n-grams count 0, those that keys lacks are gone.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .counts import effective_counts, keyed
-from .skew import skew_join
+from .skew import heavy_sides, mark, of_side, skew_join
 
 MAX_FEATURE_WEIGHT = 100.0
 
@@ -170,15 +170,17 @@ def kneser_ney(
         eff = eff.join(features, ["ord", "ngram"], "left").withColumn("__weight", F.exp(F.coalesce(dot, F.lit(0.0)))).drop("f")
         weight = F.col("__weight")
     d = given_discounts(eff, given) if given else discounts_by_order(eff, numbers)
-    sums = history_sums(eff, number, weight)
+    want = None if needed is None else checkpoint(dependencies(needed, order))
+    sums = history_sums(eff if want is None else _followers(eff, want), number, weight)
     bows = checkpoint(back_off_weights(sums, d, number))
     rows = eff.drop("n_left").join(F.broadcast(d), "ord")  # one row per order
     mass = (F.col("eff") - _discount(number, F.col("eff"))) * (weight if weight is not None else F.lit(1.0))
     rows = rows.select("ord", "ngram", "hist", "suffix", "word", "eff", mass.alias("mass"))
     p0 = zero_order(eff, closed)
-    if needed is not None:
-        want = checkpoint(dependencies(needed, order))
-        rows = rows.join(want.select("ord", "ngram"), ["ord", "ngram"], "left_semi")
+    heavy = None
+    if want is not None:
+        rows = checkpoint(rows.join(want, ["ord", "ngram"], "left_semi"))
+        heavy = checkpoint(heavy_sides(rows.where("ord > 1"), "ord", ["hist", "suffix"]))
     models: list[DataFrame] = []
     lower: DataFrame | None = None
     for o in range(1, order + 1):
@@ -188,12 +190,15 @@ def kneser_ney(
             of_empty = {"tot": of_hist.select("tot").scalar(), "__bow": of_hist.select("__bow").scalar()}
             joined = own.withColumns({**of_empty, "__lower": p0})
         else:
-            sizes = of_hist.select("hist", "n_rows")
-            joined = skew_join(own, of_hist.drop("n_rows"), ["hist"], sizes, ["ngram"])
-            by_suffix = eff.where(F.col("ord") == o - 1).select(F.col("ngram").alias("suffix"), F.col("n_left").alias("n_rows"))
-            n_own = eff.where(F.col("ord") == o).agg(F.count(F.lit(1))).scalar()
             below = lower.select(F.col("ngram").alias("suffix"), F.col("prob").alias("__lower"))
-            joined = skew_join(joined, below, ["suffix"], by_suffix, ["ngram"], total=n_own)
+            if heavy is None:  # the counts that tell the heavy keys are there already
+                joined = skew_join(own, of_hist.drop("n_rows"), ["hist"], of_hist.select("hist", "n_rows"), ["ngram"])
+                by_suffix = eff.where(F.col("ord") == o - 1).select(F.col("ngram").alias("suffix"), F.col("n_left").alias("n_rows"))
+                n_own = eff.where(F.col("ord") == o).agg(F.count(F.lit(1))).scalar()
+                joined = skew_join(joined, below, ["suffix"], by_suffix, ["ngram"], total=n_own)
+            else:
+                joined = skew_join(own, of_hist.drop("n_rows"), ["hist"], None, ["ngram"], heavy=of_side(heavy, o, "hist"))
+                joined = skew_join(joined, below, ["suffix"], None, ["ngram"], heavy=of_side(heavy, o, "suffix"))
         seen = F.when((F.col("eff") > 0) & (F.col("tot") > 0), F.col("mass") / F.col("tot")).otherwise(F.lit(0.0))
         prob = seen + F.coalesce("__lower", F.lit(0.0)) * F.col("__bow")
         if o == 1 and not closed:
@@ -205,6 +210,13 @@ def kneser_ney(
     return attach_bows(probs, bows)
 
 
+def _followers(eff: DataFrame, want: DataFrame) -> DataFrame:
+    """The rows of eff whose history is that of a wanted n-gram or is a wanted n-gram itself: what sums over histories need."""
+    hists = keyed(want).select("hist").unionByName(want.select(F.col("ngram").alias("hist")))
+    known = checkpoint(hists.distinct())  # a history's words tell its order
+    return mark(eff, known, "hist", "__in", ["ngram"]).where("__in").drop("__in")
+
+
 def attach_bows(probs: DataFrame, bows: DataFrame) -> DataFrame:
     """probs with the back-off weight of each n-gram as a history."""
     own = bows.where("ord > 1").select((F.col("ord") - 1).alias("ord"), F.col("hist").alias("ngram"), "bow")
