@@ -98,7 +98,7 @@ VIOLENT abuse 1.0: bullet in your head, bullet in your skull, beat you up, beat
   knock your teeth, you are a dead man, you re dead, you are dead meat, watch your back, sleep with one eye open, slit your throat, cut your throat, break your legs, break your neck, break your bones, smash your face, smash your head,
   burn your house down, burn down your house, bash your head, bash your face, rip your head off, mach dich kalt, mache dich kalt, mach dich fertig, mache dich fertig, schlag dich tot, schlage dich tot, bring dich um, bringe dich um, bist tot,
   te faire la peau, te casser la gueule, te casser la figure, t es mort, tu es mort, te péter la gueule, te voy a matar, voy a matarte, te vamos a matar, te mataré, te voy a romper, romperte la cara, partirte la cara, estás muert^
-STALK abuse 0.6: know where you live, know where you park, know where you work, know where you sleep, know where your, know which school, weiss wo du wohnst, weiss wo du parkst, wissen wo du wohnst, sais où tu habites,
+STALK abuse 0.6: know where you live, know where you work, know where you sleep, know where your, know which school, weiss wo du wohnst, wissen wo du wohnst, sais où tu habites,
   sais où tu vis, savons où tu habites, sé dónde vives, sabemos dónde vives, watching you, you will regret this, you will pay for this, you ll pay for this, wirst du bereuen, tu vas le regretter, te vas a arrepentir, lo vas a pagar
 DEHUMAN hate 0.2: vermin, rats, cockroaches, parasites, animals, apes, monkeys, pigs, dogs, lice, maggots, plague, disease, savages, scum, filth, trash, garbage, leeches, locusts, cattle, cows, infestation,
   ungeziefer, ratten, schmarotzer, parasiten, abschaum, tiere, affen, schweine, dreck, müll, gesindel, pest, bestien, kakerlaken, schädlinge, viecher,
@@ -260,7 +260,7 @@ BLOCK = "not, no, never, t, nicht, kein, keine, keinen, keiner, nie, pas, jamais
 EXCEPTIONS = """
 phrases: idiot proof, idiot proofed, idiot proofing, breast cancer, breast feeding, cancer du sein, cancer de seno, sexual reproduction, sexual harassment, dumb terminal, dumb terminals, slave drive, cock a doodle, stopcock, moby dick, cum laude, summa cum laude,
   magna cum laude, pussy willow, pussy cat, great tits, blue tits, coal tits, porn filter, porn detection, hate speech, hate crime, hate crimes, bastard file, bastard cut, kill the process, comic strip, strip mall, film strip, power strip,
-  nude mice, hardcore fans, naked eye, naked mole, horny toad, horny toads, dick cissel, dick turpin, dick van, cock fighting, cock fight, weather cock, drop dead gorgeous, drop dead date, drop dead time, drop dead deadline, kill you with kindness, kill them with kindness, kill him with kindness, kill her with kindness, kill two birds, kill time, dressed to kill, kill bill,
+  nude mice, hardcore fans, naked eye, naked mole, horny toad, horny toads, dick turpin, dick van, cock fighting, cock fight, weather cock, drop dead gorgeous, drop dead date, drop dead time, drop dead deadline, kill you with kindness, kill them with kindness, kill him with kindness, kill her with kindness, kill two birds, kill time, dressed to kill, kill bill,
   guinea pig, guinea pigs, piggy bank, cash cow, cash cows, sacred cow, snake oil, blood type, blood group, blood types, garbage collection, garbage collector, garbage can, trash can, trash bin, trash folder, rat race, lab rats, lab rat, dirty data, sick leave, lazy loading, lazy evaluation, dirty flag,
   dog food, stupid printer, stupid mistake, fat client, fat tree, ugly hack, nasty bug, white papers, black and white, hard drive, hard disk, big data, hot fix, hot standby, wet paint, tight schedule,
   pros and cons, bite d amarrage, au sein, shit happens, holy shit, watching you grow, animal farm, hot dog, hot dogs, watch dog, mad cow disease
